@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, phrases, sharding, simhash
+from tessera.llm import flac, mixing, packing, phrases, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", sharding.record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(flac.stored_media(_table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_phrases": op1_phrases,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op4_flac": op4_flac,
     "op6_mixing": op6_mixing,
     "op10_packing": op10_packing,
 }
