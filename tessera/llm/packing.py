@@ -13,6 +13,8 @@ packed like any others; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -24,12 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.arrow import chunks
 from tessera.sources.shared import written
 
 WINDOW = 4096
 OPEN_WINDOWS = 48
 MERGED_PARTITIONS = 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+TABLE_SLOTS = 1 << 20
+POOL_IDS = 12 << 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+TOKENIZED_BYTES = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPEN = PIECES.replace("offset long", "offset long, open boolean, merge_group long")
@@ -39,30 +46,152 @@ class WordTokenizer:
     """Whole-text ids of a tokenizer whose words never span white space.
 
     The vocabulary's normalizer and pre-tokenizer act within runs of non-space
-    characters, so ids of a text are the ids of its runs one after another; runs
-    recur, and a bounded cache of them replaces most of the work.
+    characters, so ids of a text are the ids of its runs one after another.  Runs
+    are found and hashed (64 bits) as arrays and looked up in a two-way table of
+    fixed size; only runs not in it become strings.  Those are kept in two
+    generations of bounded size.  A run of Latin letters with trailing punctuation
+    is two words, each with ids of its own; unknown letter runs are encoded together
+    and their ids told apart by the tokens that end a word.  All other runs are
+    encoded one by one.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
-
-    def ids(self, text: str) -> list[int]:
-        known, out = self.known, []
-        words = self.split(text)
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        for w in words:
-            out += known[w]
-        return out
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.two_words = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.power = self.inverse = np.zeros(0, np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros((2, TABLE_SLOTS), np.uint64)
+        self.at = np.zeros((2, TABLE_SLOTS), np.int32)
+        self.count = np.zeros((2, TABLE_SLOTS), np.int32)
+        self.pool, self.used = np.zeros(POOL_IDS, "<u4"), 0
+
+    def _runs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of every run of non-space bytes within a text."""
+        word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        opens, closes = word.copy(), word.copy()
+        opens[1:] &= ~word[:-1]
+        closes[:-1] &= ~word[1:]
+        cut = off[1:-1]
+        cut = cut[(cut > 0) & (cut < len(data))]
+        opens[cut] = word[cut]
+        closes[cut - 1] = word[cut - 1]
+        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        n = len(data) + 1
+        if len(self.power) < n:
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE)])
+                self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64)])
+        sums = np.zeros(n, np.uint64)
+        np.cumsum(data * self.power[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return start, end, h | np.uint64(1)
+
+    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot = (h >> np.uint64(20)).astype(np.int64) & (TABLE_SLOTS - 1)
+        way = (self.keys[1][slot] == h).astype(np.int64)
+        return self.keys[way, slot] == h, self.at[way, slot], self.count[way, slot]
+
+    def packed(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk, one after another, and n+1 offsets into them."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        start, end, h = self._runs(data, off)
+        hit, at, count = self._look_up(h)
+        miss = np.flatnonzero(~hit)
+        pool = self.pool
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist(), strict=True)]
+            self._learn(set(words))
+            ids = [self.known[w] for w in words]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            fresh = np.frombuffer(b"".join(ids), "<u4")
+            if self.used + len(fresh) > POOL_IDS:
+                self._clear()
+                hit[:] = False
+                if len(new) != len(np.unique(h)) or len(fresh) > POOL_IDS:
+                    return self._plain(data, off)
+            pool, base = self.pool, self.used
+            pool[base : base + len(fresh)] = fresh
+            self.used += len(fresh)
+            place = base + np.cumsum(size) - size
+            slot = (new >> np.uint64(20)).astype(np.int64) & (TABLE_SLOTS - 1)
+            way = (self.keys[0][slot] != 0).astype(np.int64)
+            self.keys[way, slot], self.at[way, slot], self.count[way, slot] = new, place, size
+            which = np.searchsorted(new, h[miss])
+            at[miss], count[miss] = place[which], size[which]
+        total = np.cumsum(count) if len(count) else np.zeros(0, np.int64)
+        ids = pool[np.repeat(at - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        stops = np.r_[0, total][np.searchsorted(start, off)]
+        return ids, stops
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, text by text, for the chunk that finds the pool full."""
+        raw, off = data.tobytes(), off.tolist()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[i:j].decode() for i, j in itertools.pairwise(off)], add_special_tokens=False)]
+        return np.array(list(itertools.chain.from_iterable(ids)), "<u4"), np.cumsum([0, *map(len, ids)])
+
+    def _learn(self, new: set[str]) -> None:
+        known, old = self.known, self.old
+        letters, others, pairs = set(), [], []
+
+        def have(w: str) -> bool:
+            if w in known:
+                return True
+            if w in old:
+                known[w] = old[w]
+                return True
+            return False
+
+        for w in new:
+            if have(w):
+                continue
+            m = self.two_words(w)
+            if not m:
+                others.append(w)
+                continue
+            core, tail = m.groups()
+            if not have(core):
+                letters.add(core)
+            if tail:
+                pairs.append((w, core, tail))
+                if not have(tail):
+                    others.append(tail)
+        self._encode_letters(list(letters))
+        self._encode_each(others)
+        for w, core, tail in pairs:
+            known[w] = known[core] + known[tail]
+
+    def _encode_letters(self, words: list[str]) -> None:
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._encode_each(words)
+        data, at = ids.tobytes(), 0
+        for w, stop in zip(words, (stops * 4).tolist(), strict=True):
+            self.known[w] = data[at:stop]
+            at = stop
+
+    def _encode_each(self, words: list[str]) -> None:
+        words = list(set(words))
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 class Packer:
@@ -107,7 +236,7 @@ _KINDS = [{"long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in OPE
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], tokenize: Callable[[], object], end_id: int, window: int, windows: int, merged: int) -> Iterator[pa.RecordBatch]:
-    encode = tokenize().ids
+    tokenizer, end = tokenize(), np.array([end_id], "<u4").tobytes()
     part = TaskContext.get().partitionId()
     packer, done, rows = Packer(window, windows), 0, []
 
@@ -120,12 +249,16 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], tokenize: Callable[[], ob
         done += 1
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
-            for start in range(0, len(ids), window):
-                piece = ids[start : start + window]
-                for full in packer.place(len(piece), (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
-                    finish(full, False)
+        for lo, hi, data, off in chunks(batch.column(1), TOKENIZED_BYTES):
+            all_ids, stops = tokenizer.packed(data, off)
+            raw, stops = all_ids.tobytes(), (stops * 4).tolist()
+            for doc, (i, j) in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), itertools.pairwise(stops), strict=True):
+                ids = raw[i:j] + end
+                n = len(ids) // 4
+                for start in range(0, n, window):
+                    piece = ids[4 * start : 4 * (start + window)]
+                    for full in packer.place(len(piece) // 4, (doc, start, len(piece) // 4, zlib.crc32(piece), n)):
+                        finish(full, False)
             if len(rows) >= 8192:
                 yield _batch(rows, _NAMES, _KINDS)
                 rows.clear()

@@ -163,3 +163,25 @@ def test_packer_keeps_a_fixed_number_of_windows():
     p = packing.Packer(10, 2)
     done = [w for n in (6, 7, 8, 9, 4, 3) for w in p.place(n, n)]
     assert len(p.open) <= 2 and sorted(x for w in [*done, *p.rest()] for x in w) == [3, 4, 6, 7, 8, 9]
+
+
+def test_word_tokenizer_small_table_and_odd_runs(spark, monkeypatch):
+    """Tables that overflow, runs with apostrophes, marks, digits and special tokens."""
+    import pyarrow as pa
+
+    from tessera.llm.arrow import chunks
+
+    monkeypatch.setattr(packing, "TABLE_SLOTS", 64)
+    monkeypatch.setattr(packing, "POOL_IDS", 300)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    t = packing.WordTokenizer(queries.tokenizer_path())
+    rng = np.random.default_rng(3)
+    parts = ["it's", "l'été!!", "ét", "A1b2", "<|endoftext|>", "x<|endoftext|>$", "中文", "Groß$$$", " ", " z", "''", "word", "...", "a" * 300, "İ", "İ"]
+    for _ in range(40):
+        texts = ["".join(rng.choice([*parts, " ", "\n", "\t"], rng.integers(0, 60))) for _ in range(5)]
+        for _, _, data, off in chunks(pa.array(texts), 400):
+            ids, stops = t.packed(data, off)
+            raw = data.tobytes()
+            for k in range(len(off) - 1):
+                want = t.tokenizer.encode(raw[off[k] : off[k + 1]].decode(), add_special_tokens=False).ids
+                assert ids[stops[k] : stops[k + 1]].tolist() == want
