@@ -163,18 +163,18 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Blocks of a pass are taken from the front of a source's token line, so a pass
     holds a prefix of each document: the whole text, or the words up to a cut.
-    Texts cut short have their words joined by single spaces.
+    Texts cut short have their words joined by single spaces.  Column names that
+    start with ``__tessera`` are reserved.
     """
-    docs = docs.drop("_id", "_size", "_pass", "_kept", "_words")
     sized = sized_documents(docs, id_col, text_col, source_col, seed)
     targets = source_targets(sized, **options)
     placed = placed_documents(sized, targets)
-    passes = placed.filter("size > 0 AND quota > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("blocks")))))
-    line = F.least(F.col("quota") - F.col("_pass") * F.col("blocks"), F.col("blocks")) * F.col("block_len")
+    passes = placed.filter("size > 0 AND quota > 0").withColumnRenamed("_id", "__tessera_id").withColumn("__tessera_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("blocks")))))
+    line = F.least(F.col("quota") - F.col("__tessera_pass") * F.col("blocks"), F.col("blocks")) * F.col("block_len")
     kept = F.least(line - F.col("offset"), F.col("size"))
-    passes = passes.withColumn("_kept", kept.cast("long")).filter("_kept > 0")
-    passes = passes.groupBy("_id", F.col("size").alias("_size"), "_pass").agg(F.max("_kept").alias("_kept"))
-    texts = docs.withColumn("_words", word_count(F.col(text_col)))
-    rows = texts.join(passes, texts[id_col].eqNullSafe(passes["_id"]) & (texts["_words"] == passes["_size"])).drop("_id", "_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_kept").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("_kept") == F.col("_words"), F.col(text_col)).otherwise(cut)).drop("_pass", "_kept", "_words")
+    passes = passes.withColumn("__tessera_kept", kept.cast("long")).filter("__tessera_kept > 0")
+    passes = passes.groupBy("__tessera_id", F.col("size").alias("__tessera_size"), "__tessera_pass").agg(F.max("__tessera_kept").alias("__tessera_kept"))
+    texts = docs.withColumn("__tessera_words", word_count(F.col(text_col)))
+    rows = texts.join(passes, texts[id_col].eqNullSafe(passes["__tessera_id"]) & (texts["__tessera_words"] == passes["__tessera_size"])).drop("__tessera_id", "__tessera_size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__tessera_kept").cast("int")), " ")
+    return rows.withColumn(text_col, F.when(F.col("__tessera_kept") == F.col("__tessera_words"), F.col(text_col)).otherwise(cut)).drop("__tessera_pass", "__tessera_kept", "__tessera_words")

@@ -239,16 +239,17 @@ def text_key(text: Column) -> Column:
 def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes (``kept``).
 
-    Ids need not be unique: texts are told apart by id and hash.
+    Ids need not be unique: texts are told apart by id and hash.  Input columns named
+    as an output are replaced; names that start with ``__tessera`` are reserved.
     """
-    docs = docs.drop("_id", "_hash", "_text", "_start", "_count", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": text_key(F.col(text_col)), "_text": F.col(text_col).cast("string")})
-    texts = keyed.filter(F.octet_length("_text") >= length).select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col("_text").alias("text"))
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    keyed = docs.withColumns({"__tessera_id": F.col(id_col).cast("long"), "__tessera_hash": text_key(F.col(text_col)), "__tessera_text": F.col(text_col).cast("string")})
+    texts = keyed.filter(F.octet_length("__tessera_text") >= length).select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
     marks = repeated_strings(texts, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("m"))
-    marks = marks.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_key"), F.col("m.start").alias("_start"), F.col("m.count").alias("_count"))
-    joined = keyed.join(marks, keyed["_id"].eqNullSafe(marks["_doc"]) & (keyed["_hash"] == marks["_key"]), "left")
+    marks = marks.select(F.col("doc_id").alias("__tessera_doc"), F.col("text_hash").alias("__tessera_key"), F.col("m.start").alias("__tessera_start"), F.col("m.count").alias("__tessera_count"))
+    joined = keyed.join(marks, keyed["__tessera_id"].eqNullSafe(marks["__tessera_doc"]) & (keyed["__tessera_hash"] == marks["__tessera_key"]), "left")
     rest = [c for c in docs.columns if c != text_col]
-    rows = joined.select("_text", "_start", "_count", *rest)
+    rows = joined.select("__tessera_text", "__tessera_start", "__tessera_count", *rest)
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     fields = [f for f in rows.schema.fields if f.name in rest]
     from pyspark.sql import types as T
