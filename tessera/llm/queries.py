@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import flac, language, mixing, packing, phrases, repeats, sharding, simhash
+from tessera.llm import flac, language, mixing, packing, phrases, quality, repeats, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality.scored_documents(_table(spark, sf_dir, "documents"), trusted)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
     "op8_repeats": op8_repeats,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
