@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import flac, language, mixing, packing, phrases, quality, repeats, sharding, simhash
+from tessera.llm import flac, html_text, language, mixing, packing, phrases, quality, repeats, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(flac.stored_media(_table(spark, sf_dir, "documents")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_flac": op4_flac,
+    "op5_html_text": op5_html_text,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
     "op8_repeats": op8_repeats,
