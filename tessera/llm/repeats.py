@@ -162,7 +162,7 @@ def _blocks(rows: list[tuple], keys: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "k1", "k2", "sides", "base", "weight"])
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Applies marked strings: what is kept of each text, and how much went."""
     for batch in batches:
         out = []
@@ -183,11 +183,11 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                     at, spans = j, spans + 1
             kept.append(data[at:])
             left = b"".join(kept)
-            out.append((len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest(), left))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            out.append((len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if texts else None))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
         rest = [batch.column(i) for i in range(3, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*cols, *rest], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *batch.schema.names[3:]])
+        yield pa.RecordBatch.from_arrays([*cols, *rest], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[3:]])
 
 
 def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -236,22 +236,24 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes (``kept``).
+def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
+    """``docs`` without texts, with n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
+    Counts and digest are of bytes; ``kept_text`` leaves out characters that lost
+    some of their bytes only, and is null unless ``texts`` are asked for.
     Ids need not be unique: texts are told apart by id and hash.  Input columns named
     as an output are replaced; names that start with ``__tessera`` are reserved.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     keyed = docs.withColumns({"__tessera_id": F.col(id_col).cast("long"), "__tessera_hash": text_key(F.col(text_col)), "__tessera_text": F.col(text_col).cast("string")})
-    texts = keyed.filter(F.octet_length("__tessera_text") >= length).select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
-    marks = repeated_strings(texts, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("m"))
+    long = keyed.filter(F.octet_length("__tessera_text") >= length).select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
+    marks = repeated_strings(long, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("m"))
     marks = marks.select(F.col("doc_id").alias("__tessera_doc"), F.col("text_hash").alias("__tessera_key"), F.col("m.start").alias("__tessera_start"), F.col("m.count").alias("__tessera_count"))
     joined = keyed.join(marks, keyed["__tessera_id"].eqNullSafe(marks["__tessera_doc"]) & (keyed["__tessera_hash"] == marks["__tessera_key"]), "left")
     rest = [c for c in docs.columns if c != text_col]
     rows = joined.select("__tessera_text", "__tessera_start", "__tessera_count", *rest)
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     fields = [f for f in rows.schema.fields if f.name in rest]
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(lambda it: _cut_batches(it, length), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))
+    return rows.mapInArrow(lambda it: _cut_batches(it, length, texts), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))

@@ -41,41 +41,64 @@ SMALL_BUCKET = 64
 
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+#: Odd multipliers that turn one shingle hash into further, independent ones.
+_FURTHER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of one UTF-8 text: A-Z folded, words between ASCII white space."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> bytes:
+    """XXH64 of the shingles one after another, big-endian; A-Z folded, words between ASCII white space."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return b""
     line = b" ".join(words)
     if n <= shingle:
-        hashes = xxh64_digest(line, SEED)
-        n = 1
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        n -= shingle - 1
-        hashes = b"".join([xxh64_digest(line[i:j], SEED) for i, j in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+        return xxh64_digest(line, SEED)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    return b"".join([xxh64_digest(line[i:j], SEED) for i, j in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+
+
+def _majority(hashes: bytes) -> int:
+    n = len(hashes) // 8
     lanes = np.frombuffer(hashes, np.uint8).reshape(n, 8) + _LANES
     counts = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
     return int.from_bytes(np.packbits((counts.ravel() * 2 > n).astype(np.uint8)).tobytes(), "big")
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def simhash(text: bytes, shingle: int = SHINGLE, words: int = 1) -> list[int]:
+    """Unsigned 64-bit fingerprints of one UTF-8 text: its SimHash, and ``words`` - 1 further ones."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return [0] * words
+    out = [_majority(hashes)]
+    h = np.frombuffer(hashes, ">u8").astype(np.uint64)
+    for k in range(words - 1):
+        x = h * np.uint64(_FURTHER[k])
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(_FURTHER[k])
+        out.append(_majority((x ^ (x >> np.uint64(29))).astype(">u8").tobytes()))
+    return out
+
+
+def _columns(words: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
+
+
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_parts(batch.column(1))
         raw = data.tobytes()
-        out = np.array([simhash(raw[i:j], shingle) for i, j in itertools.pairwise(off.tolist())], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        out = np.array([simhash(raw[i:j], shingle, words) for i, j in itertools.pairwise(off.tolist())], np.uint64).reshape(-1, words)
+        cols = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(words)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_columns(words)])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """(doc_id, fp...): the fingerprints of every whole text as signed longs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprint_batches(it, shingle), "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *_columns(words)])
+    return rows.mapInArrow(lambda it: _fingerprint_batches(it, shingle, words), schema)
 
 
 def _bit_matrix(fp: np.ndarray) -> np.ndarray:
@@ -152,16 +175,17 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, radius: int) ->
 
 
 def _file_and_probe(batches: Iterator[pa.RecordBatch], groups: list[list[int]], thresholds: list[int]) -> Iterator[pa.RecordBatch]:
-    """(key, filed, fp): where each fingerprint is filed, and the buckets it probes."""
+    """(key, filed, node, fp...): where each fingerprint is filed, and the buckets it probes."""
     plans = []
     for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t >= 0:
             flips = [sum(1 << b for b in c) for r in range(1, t + 1) for c in itertools.combinations(range(len(bits)), r)]
             plans.append((k, bits, np.array([0, *flips], np.uint64)))
     for batch in batches:
-        whole = batch.column(0).to_numpy().view(np.uint64)
-        for i in range(0, len(whole), 4096):
-            fp = whole[i : i + 4096]
+        names = ["key", "filed", *batch.schema.names]
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            fp = part.column(1).to_numpy().view(np.uint64)
             for k, bits, flips in plans:
                 own = np.zeros(len(fp), np.uint64)
                 for at, b in enumerate(bits):
@@ -169,31 +193,47 @@ def _file_and_probe(batches: Iterator[pa.RecordBatch], groups: list[list[int]],
                 keys = (own[:, None] ^ flips[None, :]) | np.uint64(k << 56)
                 filed = np.zeros(keys.shape, bool)
                 filed[:, 0] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(filed.ravel()), pa.array(np.repeat(fp, len(flips)).view(np.int64))], names=["key", "filed", "fp"]
-                )
-
-
-def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among a bucket's fingerprints, by breadth-first search."""
-    left, right, rest = [], [], fp
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            u = queue.pop()
-            near = np.bitwise_count(rest ^ u) <= radius
-            if near.any():
-                found = rest[near]
-                rest = rest[~near]
-                left.append(np.full(len(found), u))
-                right.append(found)
-                queue.extend(found)
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def _verify(key: np.ndarray, filed: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+                rest = [pa.array(np.repeat(c.to_numpy(), len(flips))) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(filed.ravel()), *rest], names=names)
+
+
+def _near(fps: list[np.ndarray], u: np.ndarray, v: np.ndarray, radius: int, whole_radius: int | None) -> np.ndarray:
+    """Which pairs (index arrays that broadcast) are links."""
+    near = np.bitwise_count(fps[0][u] ^ fps[0][v]) <= radius
+    if whole_radius is not None and near.any():
+        at = np.nonzero(near)
+        u, v = np.broadcast_to(u, near.shape)[at], np.broadcast_to(v, near.shape)[at]
+        near[at] = sum(np.bitwise_count(f[u] ^ f[v]).astype(np.int64) for f in fps) <= whole_radius
+    return near
+
+
+def _forest(filed: int, lo: int, hi: int, fps: list[np.ndarray], radius: int, whole_radius: int | None) -> tuple[list[int], list[int]]:
+    """Links of a bucket's filed rows with all its rows, less those that join what is joined."""
+    left: list[int] = []
+    right: list[int] = []
+    component = np.arange(hi - lo)
+    everything = np.arange(lo, hi)
+    step = max(1, PAIRS_AT_ONCE // (hi - lo))
+    for i in range(lo, lo + filed, step):
+        rows = np.arange(i, min(i + step, lo + filed))
+        near = _near(fps, rows[:, None], everything[None, :], radius, whole_radius)
+        near[np.arange(len(rows)), rows - lo] = False
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
+            with_r = np.flatnonzero(near[r])
+            mine = component[rows[r] - lo]
+            joined, first = np.unique(component[with_r], return_index=True)
+            new = joined != mine
+            if new.any():
+                left += [int(rows[r])] * int(new.sum())
+                right += (with_r[first[new]] + lo).tolist()
+                component[np.isin(component, joined[new])] = mine
+    return left, right
+
+
+def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) -> Iterator[pa.RecordBatch]:
     """Links within complete buckets; rows sorted by key, filed ones first."""
+    key, filed, node, *fps = columns
+    fps = [f.view(np.uint64) for f in fps]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[first[1:], len(key)]
     size = end - first
@@ -202,64 +242,91 @@ def _verify(key: np.ndarray, filed: np.ndarray, fp: np.ndarray, radius: int) ->
     rows = np.flatnonzero(filed & small & (end_of - np.arange(len(key)) > 1))
     partners = end_of[rows] - rows - 1
     stops = np.cumsum(partners)
+
+    def batch(u, v) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["a", "b"])
+
     at = 0
     while at < len(rows):
         to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
         r, n = rows[at:to], partners[at:to]
         u = np.repeat(r, n)
         v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
-        x = fp[u] ^ fp[v]
-        near = (np.bitwise_count(x) <= radius) & (x != 0)
+        near = _near(fps, u, v, radius, whole_radius)
         if near.any():
-            yield pa.RecordBatch.from_arrays([pa.array(fp[u[near]].view(np.int64)), pa.array(fp[v[near]].view(np.int64))], names=["a", "b"])
+            yield batch(u[near], v[near])
         at = to
-    for i, j in zip(first[size > SMALL_BUCKET].tolist(), end[size > SMALL_BUCKET].tolist(), strict=True):
-        if filed[i]:
-            a, b = _forest(np.unique(fp[i:j]), radius)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    count = np.add.reduceat(filed.astype(np.int64), first)
+    large = (size > SMALL_BUCKET) & (count > 0)
+    for n, i, j in zip(count[large].tolist(), first[large].tolist(), end[large].tolist(), strict=True):
+        u, v = _forest(n, i, j, fps, radius, whole_radius)
+        if u:
+            yield batch(u, v)
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
+def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int, whole_radius: int | None) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, filed, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        key = columns[0]
         cut = int(np.searchsorted(key, key[-1]))
         if held and held[-1][0][-1] != key[0] or cut:
-            done = [*held, (key[:cut], filed[:cut], fp[:cut])]
+            done = [*held, [c[:cut] for c in columns]]
             done = [np.concatenate(c) for c in zip(*done, strict=True)]
             if len(done[0]):
-                yield from _verify(*done, radius)
+                yield from _verify(done, radius, whole_radius)
             held = []
-        held.append((key[cut:], filed[cut:], fp[cut:]))
+        held.append([c[cut:] for c in columns])
     if held:
-        yield from _verify(*[np.concatenate(c) for c in zip(*held, strict=True)], radius)
+        yield from _verify([np.concatenate(c) for c in zip(*held, strict=True)], radius, whole_radius)
+
 
+def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, whole_radius: int | None = None) -> DataFrame:
+    """(a, b): links among nodes (node, fp...) that leave their components whole.
 
-def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """(a, b): links among distinct fingerprints that leave their components whole."""
+    Nodes are linked when ``fp`` differs in at most ``radius`` bits and, if that is
+    given, all fingerprints together in at most ``whole_radius``.
+    """
     both = bit_statistics(nodes)
     n = nodes.count()
     groups = correlated_parts(both, n, parts)
     thresholds = allocate(groups, both, n, radius)
-    probes = nodes.select("fp").mapInArrow(lambda it: _file_and_probe(it, groups, thresholds), "key long, filed boolean, fp long")
+    fps = [c for c in nodes.columns if c.startswith("fp")]
+    schema = "key long, filed boolean, node long, " + ", ".join(f"{c} long" for c in fps)
+    probes = nodes.select("node", *fps).mapInArrow(lambda it: _file_and_probe(it, groups, thresholds), schema)
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = probes.repartition(width, "key").sortWithinPartitions("key", F.col("filed").desc())
-    return dealt.mapInArrow(lambda it: _verify_batches(it, radius), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda it: _verify_batches(it, radius, whole_radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that a document reaches over links.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, words: int = 1, whole_radius: int | None = None) -> DataFrame:
+    """(doc_id, fp..., component_id): the smallest doc_id that a document reaches over links.
 
     Links join distinct fingerprints, documents only look up theirs, so the work
     follows the number of different texts, not the square of a group of copies.
+    With several ``words``, candidates come from the first and ``whole_radius``
+    bounds the differing bits of all, a closer estimate of similarity.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    groups = connected_components(links(nodes, radius, parts), "a", "b")
-    named = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    fps = _columns(words)
+    prints = written(fingerprints(docs, id_col, text_col, shingle, words), "simhash")
+    node = F.col("fp") if words == 1 else F.xxhash64(*fps)
+    nodes = written(prints.groupBy(*fps).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "simhash-nodes")
+    groups = connected_components(links(nodes, radius, parts, whole_radius), "a", "b").withColumnRenamed("node", "linked")
+    named = nodes.join(groups, nodes["node"] == groups["linked"], "left").select(*fps, "first_id", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    lookup = named.join(lowest, "component").select("fp", "component_id")
-    return prints.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    lookup = named.join(lowest, "component").select(*fps, "component_id")
+    return prints.join(lookup, fps).select("doc_id", *fps, "component_id")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
+
+    Rows that repeat that id and text, or have no id, leave one row.  Column names
+    that start with ``__tessera`` are reserved.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tessera_id")).distinct()
+    joined = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__tessera_id")), "left_semi")
+    return joined.dropDuplicates([id_col])

@@ -39,7 +39,7 @@ def components(fps):
 @given(st.text(alphabet="aAbÉ \t\n\x0b\x85 ", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_fingerprint_matches_definition(text):
-    assert simhash.simhash(text.encode()) == plain(text)
+    assert simhash.simhash(text.encode()) == [plain(text)]
 
 
 def check(rows, docs):
@@ -80,7 +80,7 @@ def test_links_leave_components_whole(spark):
 
     for parts in (2, 3, 5):
         fp = clustered(1500, parts)
-        nodes = spark.createDataFrame([(int(x), i) for i, x in enumerate(fp.view(np.int64))], "fp long, first_id long")
+        nodes = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "node long, fp long")
         found = simhash.links(nodes, parts=parts)
         pairs = {(r.a, r.b) for r in found.collect()}
         assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in pairs)
@@ -97,3 +97,40 @@ def test_thresholds_follow_the_pigeonhole_rule():
         groups = simhash.correlated_parts(both, 4000, parts)
         assert sorted(b for g in groups for b in g) == list(range(64))
         assert sum(t + 1 for t in simhash.allocate(groups, both, 4000, 4)) == 5
+
+
+def jaccard(a, b):
+    def of(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    a, b = of(a), of(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_similarity_are_grouped_and_others_left_alone(spark):
+    from corpus_pipeline import NEAR
+
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    rows, family = [], {}
+    for base in range(60):
+        words = rng.choice(vocabulary, 300).tolist()
+        for copy in range(4):
+            x = list(words)
+            for at in rng.choice(300, 0 if copy == 0 else 5, replace=False):
+                x[at] = str(rng.choice(vocabulary))
+            family[len(rows)] = base
+            rows.append((len(rows), " ".join(x)))
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8
+    assert all(family[c] == family[d] for d, c in found.items())
+    assert np.mean([c == 4 * family[d] for d, c in found.items()]) > 0.97
+
+
+def test_representatives(spark):
+    docs = hard(spark)
+    kept = simhash.representatives(docs.union(docs))
+    assert kept.columns == docs.columns
+    want = set(components({r.doc_id: plain(r.text) for r in docs.collect()}).values())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
