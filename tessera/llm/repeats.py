@@ -198,11 +198,12 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     parse = written(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: _parse_batches(it, length, gram), PARSE), "parse")
     # The dictionary: distinct phrases with their number of occurrences.
     phrase = ["trigger", "p1", "p2"]
-    first = F.min(F.struct("doc_id", "text_hash", "at"))
+    place = F.xxhash64("doc_id", "text_hash", "at")  # one occurrence, the least by hash, stands for its phrase
+    first = F.min(place)
     dictionary = written(parse.groupBy(*phrase).agg(F.count("*").alias("n"), first.alias("first")), "dictionary")
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases"), F.sum("n").alias("all")).filter("all > 1").select("trigger", "phrases")
     open_phrases = dictionary.join(shared, "trigger").filter("n > 1 OR phrases > 1")
-    seen = written(parse.join(open_phrases, phrase).select("doc_id", "text_hash", "at", "d_low", "d_high", "n", "phrases", F.struct("doc_id", "text_hash", "at").eqNullSafe(F.col("first")).alias("is_first")), "open-phrases")
+    seen = written(parse.join(open_phrases, phrase).select("doc_id", "text_hash", "at", "d_low", "d_high", "n", "phrases", (place == F.col("first")).alias("is_first")), "open-phrases")
     settled = seen.filter("n > 1").select("doc_id", "text_hash", (F.col("at") - F.col("d_high")).alias("start"), (F.col("d_high") - F.col("d_low") + 1).alias("count"))
 
     # Blocks of phrases that share their trigger with other phrases, one per distinct phrase.
