@@ -104,10 +104,17 @@ def numeric_columns(df: DataFrame, strict: bool = False) -> list[str]:
     return _kind(df, (T.IntegerType, T.DoubleType) if strict else T.NumericType)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct_count) with null as a value: values are grouped in one long form, map-side first."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.xxhash64(F.lit(1), F.col(f"`{c}`").cast("string")).alias("a"), F.xxhash64(F.lit(2), F.col(f"`{c}`").cast("string")).alias("b"), F.col(f"`{c}`").isNull().alias("none")) for c in columns])
+    return df.select(F.explode(pairs).alias("x")).select("x.*").distinct().groupBy("column").agg(F.count("*").alias("distinct_count"))
+
+
 def profile_columns(df: DataFrame, *, exact_percentiles: bool = False, pii: bool = True, approximate_distinct: bool = False) -> DataFrame:
     """One row per column: nulls, distinct values, numeric and length statistics, PII row counts.
 
-    A single aggregation over one scan.  NaN and infinities count as missing in
+    One aggregation over one scan, and one more over values in long form for exact
+    distinct counts (128-bit hashes of them).  NaN and infinities count as missing in
     numeric statistics.
     """
     numbers, strings = set(numeric_columns(df)), set(_kind(df, T.StringType))
@@ -115,8 +122,9 @@ def profile_columns(df: DataFrame, *, exact_percentiles: bool = False, pii: bool
     items = []
     for i, c in enumerate(df.columns):
         q = f"`{c}`"
-        distinct = F.approx_count_distinct(q, 0.01) if approximate_distinct else F.count_distinct(q)
-        aggs += [(F.count("*") - F.count(q)).alias(f"nulls{i}"), (distinct + F.coalesce(F.max(F.col(q).isNull().cast("int")), F.lit(0))).alias(f"distinct{i}")]
+        aggs.append((F.count("*") - F.count(q)).alias(f"nulls{i}"))
+        if approximate_distinct:
+            aggs.append((F.approx_count_distinct(q, 0.01) + F.coalesce(F.max(F.col(q).isNull().cast("int")), F.lit(0))).alias(f"distinct{i}"))
         stats = {n: F.lit(None).cast("double") for n in ("min", "max", "mean", "stddev", "sum", "variance", "skewness", "kurtosis", "min_length", "max_length", "avg_length")}
         quantiles, found = F.lit(None).cast("array<double>"), F.lit(None).cast("map<string,bigint>")
         if c in numbers:
@@ -138,10 +146,14 @@ def profile_columns(df: DataFrame, *, exact_percentiles: bool = False, pii: bool
                 found = F.map_filter(F.create_map(*[y for k in PROFILE_PII for y in (F.lit(k), F.col(f"{k}{i}"))]), lambda _, n: n > 0)
         items.append(F.struct(
             F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.col("rows").alias("rows"), F.col(f"nulls{i}").alias("null_count"),
-            F.when(F.col("rows") > 0, F.round(F.col(f"nulls{i}") / F.col("rows") * 100, 4)).otherwise(0.0).alias("null_pct"), F.col(f"distinct{i}").alias("distinct_count"),
+            F.when(F.col("rows") > 0, F.round(F.col(f"nulls{i}") / F.col("rows") * 100, 4)).otherwise(0.0).alias("null_pct"), (F.col(f"distinct{i}") if approximate_distinct else F.lit(None).cast("long")).alias("distinct_count"),
             *[v.cast("double").alias(n) for n, v in stats.items()], quantiles.alias("percentiles"), found.alias("pii"),
         ))
-    return df.agg(*aggs).select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    out = df.agg(*aggs).select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    if approximate_distinct:
+        return out
+    exact = distinct_counts(df, df.columns).withColumnRenamed("distinct_count", "_exact")
+    return out.join(exact, "column", "left").withColumn("distinct_count", F.coalesce("_exact", F.lit(0))).drop("_exact")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 20) -> DataFrame:

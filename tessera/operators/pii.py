@@ -34,15 +34,20 @@ SPAN = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.Struct
 NER_CHUNK, NER_OVERLAP = 450, 50
 
 
+#: Every pattern needs a digit or an at sign: texts without them are settled by one cheap test.
+SUSPECT = r"[\p{Nd}@]"
+
+
 def type_counts(text: Column, types: Sequence[str] | None = None) -> dict[str, Column]:
-    return {t: F.coalesce(F.regexp_count(text, F.lit(PATTERNS[t])), F.lit(0)) for t in types or PATTERNS}
+    suspect = text.rlike(SUSPECT)
+    return {t: F.when(suspect, F.regexp_count(text, F.lit(PATTERNS[t]))).otherwise(0) for t in types or PATTERNS}
 
 
 def has_pii(text: Column, types: Sequence[str] | None = None) -> Column:
     found = F.lit(False)
     for t in types or PATTERNS:
-        found = found | F.coalesce(text.rlike(PATTERNS[t]), F.lit(False))
-    return found
+        found = found | text.rlike(PATTERNS[t])
+    return F.coalesce(text.rlike(SUSPECT) & found, F.lit(False))
 
 
 def redact_type(text: Column, kind: str) -> Column:
@@ -130,7 +135,8 @@ def span_column(text: Column, detector: Detector | None = None, clean_chat: bool
         kind = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         return pa.array(rows, kind)
 
-    return spans(chat_clean(text) if clean_chat else text)
+    source = chat_clean(text) if clean_chat else text
+    return spans(source if d.ner else F.when(source.rlike(SUSPECT), source))
 
 
 def spans_json(text: Column, detector: Detector | None = None) -> Column:
@@ -138,14 +144,14 @@ def spans_json(text: Column, detector: Detector | None = None) -> Column:
 
 
 def mask_column(text: Column, strategy: str = "redact", detector: Detector | None = None, salt: str = SALT) -> Column:
-    """Masked text; rows that no pattern touches skip the Python side."""
+    """Masked text; texts that no pattern can match reach the Python side as null only."""
     d = detector or Detector()
 
     @F.arrow_udf(T.StringType())
     def masked(column: pa.Array) -> pa.Array:
         return pa.array([mask_text(t, strategy, d, salt) for t in column.to_pylist()], pa.string())
 
-    return masked(text)
+    return masked(text) if d.ner else F.coalesce(masked(F.when(text.rlike(SUSPECT), text)), text)
 
 
 def mask_whole(value: Column, strategy: str, kind: str = "VALUE", salt: str = SALT) -> Column:
