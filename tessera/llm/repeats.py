@@ -39,7 +39,7 @@ from tessera.llm.arrow import chunks
 from tessera.sources.shared import written
 
 LENGTH = 400
-GRAM = 96
+GRAM = 64
 BLOCK = 16
 SIDE = BLOCK - 1
 PLACE_BITS = 28
@@ -132,7 +132,11 @@ BLOCKS = "doc_id long, text_hash long, k1 long, k2 long, sides binary, base int,
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of the phrases to compare.  ``sides`` holds the clip and the bytes at either side of the core."""
+    """Blocks of the phrases to compare, clipped to the strings that a phrase serves.
+
+    So each string of a text is in one block only.  ``sides`` holds the clip and the
+    bytes at either side of the core that the block's strings reach.
+    """
     core_size = length - SIDE
     for batch in batches:
         rows: list[tuple] = []
@@ -144,8 +148,9 @@ def _block_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
                 for k in range(low // BLOCK, high // BLOCK + 1):
                     core = at - BLOCK * k
                     base = core - SIDE
-                    left, right = data[max(base, 0) : core], data[base + length : base + length + SIDE]
-                    sides = bytes((SIDE - len(left), len(right))) + left.rjust(SIDE, b"\0") + right.ljust(SIDE, b"\0")
+                    j_low, j_high = max(0, core - base - (high - BLOCK * k)), min(SIDE, core - base - (low - BLOCK * k))
+                    left, right = data[base + j_low : core], data[base + length : base + length + j_high]
+                    sides = bytes((j_low, j_high)) + left.rjust(SIDE, b"\0") + right.ljust(SIDE, b"\0")
                     keys.append(xxh3_128_digest(data[core : core + core_size]))
                     rows.append((doc, text_hash, sides, base, weight))
             if len(rows) > 20_000:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -69,6 +70,16 @@ def test_periodic_texts_and_repeats_inside_one_document(spark):
     check(spark, rows, length=40, gram=12)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_shorter_than_the_length_are_not_repeats(spark, seed):
+    """Triggers recur everywhere, strings of the length hardly anywhere."""
+    rng = random.Random(seed)
+    pieces = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(16, 39))) for _ in range(40)]
+    rows = [(d, "".join(rng.choice(pieces) for _ in range(rng.randrange(2, 60)))) for d in range(40)]
+    check(spark, rows, length=40, gram=12)
+    check(spark, rows, length=90, gram=16)
+
+
 def test_production_length_with_repeated_ids_and_rows(spark):
     rows = corpus(2, 30, "abcdé ", 4, (300, 900))
     check(spark, [*rows, *rows[:3], (0, "other text"), (None, "n" * 900)])
