@@ -6,7 +6,8 @@ that part's own threshold, whenever the thresholds sum to radius - parts + 1.
 Correlated bits share a part, and a dynamic program gives each part the threshold
 that makes the estimated work least.  Every fingerprint is filed once per part and
 probes that part's buckets within its threshold; members of a bucket are verified
-bit by bit and only a spanning forest of the links leaves the bucket.
+bit by bit, and what leaves a bucket is each of its components as a star around its
+smallest node, which is mostly the same star from bucket to bucket.
 
 Equal fingerprints are one node from the start, so exact copies cost nothing here.
 
@@ -38,6 +39,7 @@ SHINGLE = 4
 SEED = 42
 PAIRS_AT_ONCE = 1 << 20
 SMALL_BUCKET = 64
+STARS_AT_ONCE = 1 << 18
 
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -207,33 +209,36 @@ def _near(fps: list[np.ndarray], u: np.ndarray, v: np.ndarray, radius: int, whol
     return near
 
 
-def _forest(filed: int, lo: int, hi: int, fps: list[np.ndarray], radius: int, whole_radius: int | None) -> tuple[list[int], list[int]]:
-    """Links of a bucket's filed rows with all its rows, less those that join what is joined."""
-    left: list[int] = []
-    right: list[int] = []
-    component = np.arange(hi - lo)
+def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Lets both ends of every link take the smaller label until nothing changes."""
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        changed = (label[u] != low) | (label[v] != low)
+        if not changed.any():
+            return
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+
+
+def _join_filed(filed: int, lo: int, hi: int, fps: list[np.ndarray], label: np.ndarray, radius: int, whole_radius: int | None) -> None:
+    """Labels of a large bucket: its filed rows against all its rows, in blocks."""
     everything = np.arange(lo, hi)
     step = max(1, PAIRS_AT_ONCE // (hi - lo))
     for i in range(lo, lo + filed, step):
         rows = np.arange(i, min(i + step, lo + filed))
         near = _near(fps, rows[:, None], everything[None, :], radius, whole_radius)
-        near[np.arange(len(rows)), rows - lo] = False
-        for r in np.flatnonzero(near.any(axis=1)).tolist():
-            with_r = np.flatnonzero(near[r])
-            mine = component[rows[r] - lo]
-            joined, first = np.unique(component[with_r], return_index=True)
-            new = joined != mine
-            if new.any():
-                left += [int(rows[r])] * int(new.sum())
-                right += (with_r[first[new]] + lo).tolist()
-                component[np.isin(component, joined[new])] = mine
-    return left, right
-
-
-def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) -> Iterator[pa.RecordBatch]:
-    """Links within complete buckets; rows sorted by key, filed ones first."""
+        for r in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+            mine = np.unique(label[lo + np.flatnonzero(near[r])])
+            if len(mine) > 1:
+                part = label[lo:hi]
+                part[np.isin(part, mine)] = mine[0]
+
+
+def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) -> np.ndarray:
+    """(node, smallest node it is joined to) within complete buckets; rows sorted by key, filed ones first."""
     key, filed, node, *fps = columns
     fps = [f.view(np.uint64) for f in fps]
+    label = node.copy()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[first[1:], len(key)]
     size = end - first
@@ -242,30 +247,35 @@ def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) ->
     rows = np.flatnonzero(filed & small & (end_of - np.arange(len(key)) > 1))
     partners = end_of[rows] - rows - 1
     stops = np.cumsum(partners)
-
-    def batch(u, v) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["a", "b"])
-
-    at = 0
+    at, found = 0, []
     while at < len(rows):
         to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
         r, n = rows[at:to], partners[at:to]
         u = np.repeat(r, n)
         v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
         near = _near(fps, u, v, radius, whole_radius)
-        if near.any():
-            yield batch(u[near], v[near])
+        found.append((u[near], v[near]))
         at = to
+    if found:
+        _settle(label, *[np.concatenate(c) for c in zip(*found, strict=True)])
     count = np.add.reduceat(filed.astype(np.int64), first)
     large = (size > SMALL_BUCKET) & (count > 0)
     for n, i, j in zip(count[large].tolist(), first[large].tolist(), end[large].tolist(), strict=True):
-        u, v = _forest(n, i, j, fps, radius, whole_radius)
-        if u:
-            yield batch(u, v)
+        _join_filed(n, i, j, fps, label, radius, whole_radius)
+    moved = label != node
+    return np.unique(np.column_stack([node[moved], label[moved]]), axis=0)
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int, whole_radius: int | None) -> Iterator[pa.RecordBatch]:
+    """Stars of the components of each bucket; a star that many buckets show goes out once per flush."""
     held: list[list[np.ndarray]] = []
+    ready: list[np.ndarray] = []
+
+    def flushed() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(ready), axis=0)
+        ready.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -276,15 +286,19 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int, whole_radius
             done = [*held, [c[:cut] for c in columns]]
             done = [np.concatenate(c) for c in zip(*done, strict=True)]
             if len(done[0]):
-                yield from _verify(done, radius, whole_radius)
+                ready.append(_verify(done, radius, whole_radius))
             held = []
         held.append([c[cut:] for c in columns])
+        if sum(map(len, ready)) > STARS_AT_ONCE:
+            yield flushed()
     if held:
-        yield from _verify([np.concatenate(c) for c in zip(*held, strict=True)], radius, whole_radius)
+        ready.append(_verify([np.concatenate(c) for c in zip(*held, strict=True)], radius, whole_radius))
+    if ready:
+        yield flushed()
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, whole_radius: int | None = None) -> DataFrame:
-    """(a, b): links among nodes (node, fp...) that leave their components whole.
+    """(a, b): links among nodes (node, fp...), by way of others, that leave their components whole.
 
     Nodes are linked when ``fp`` differs in at most ``radius`` bits and, if that is
     given, all fingerprints together in at most ``whole_radius``.
@@ -323,10 +337,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
-    Rows that repeat that id and text, or have no id, leave one row.  Column names
-    that start with ``__tessera`` are reserved.
+    Rows that repeat that id and text leave one row; rows without id stay once per
+    text where their group has no id at all.  Column names that start with
+    ``__tessera`` are reserved.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tessera_id")).distinct()
     joined = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__tessera_id")), "left_semi")
-    return joined.dropDuplicates([id_col])
+    return joined.dropDuplicates([id_col, text_col])

