@@ -42,7 +42,7 @@ def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
         word_count(F.col(text_col)).alias("size"),
     )
     key = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("null"))
-    rnd = F.xxhash64(F.lit(seed), F.col("_id"), F.col("size"))
+    rnd = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("_id").cast("string"), F.col("size").cast("string")))
     return written(got.withColumns({"_key": key, "_rnd": rnd}), "mix-sized")
 
 
@@ -132,7 +132,7 @@ def placed_documents(sized: DataFrame, targets: DataFrame) -> DataFrame:
     a third of all rows is spread over many tasks.
     """
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    rows = sized.withColumn("_bucket", F.floor((F.shiftrightunsigned(F.col("_rnd"), 11) / F.lit(float(1 << 53))) * buckets).cast("long"))
+    rows = sized.withColumn("_bucket", F.floor(F.conv(F.substring("_rnd", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) * buckets).cast("long"))
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_key", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))

@@ -78,4 +78,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+#: The mix in closed form: schedule ranks meet the quotas, so a block is taken once per full
+#: pass and once more if it is among the first of the last pass.
+OP6_SQL = r"""WITH sized AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
+keyed AS (SELECT *, md5(concat_ws('/', '20240601', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))) AS rnd, coalesce('s' || source, 'null') AS k FROM sized),
+src AS (SELECT k, source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY 1, 2),
+w AS (SELECT *, list_extract([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)) AS weight, source_size * 2.0::DOUBLE AS cap FROM src),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER prev, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER prev, 0)) AS level
+  FROM w WINDOW prev AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM l),
+b AS (SELECT *, CAST(greatest(ceil(source_size / greatest(ceil(source_size / 4096), least(source_size, 256), 1)), 1) AS BIGINT) AS len FROM t),
+q AS (SELECT *, CAST(ceil(source_size / len) AS BIGINT) AS blocks, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS passes FROM b),
+z AS (SELECT *, CASE WHEN source_size > 0 THEN least(passes * blocks + CAST(round((target - passes * source_size) / len) AS BIGINT), 2 * blocks) ELSE 0 END AS quota FROM q),
+placed AS (SELECT keyed.*, coalesce(sum(size) OVER (PARTITION BY k ORDER BY rnd, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM keyed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (quota // blocks) + greatest(0, least(off + size, (quota % blocks) * len) - off) END AS BIGINT) AS taken
+FROM placed JOIN z USING (k)"""
+
+#: Every 400-byte string of every text, on the bytes as hexadecimal digits.
+OP8_SQL = """WITH n AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, greatest(n - 399, 0))) AS i FROM n)),
+s AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
+sp AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS sid FROM g),
+runs AS (SELECT r, sid, min(i) AS a, max(i) + 400 AS b FROM sp GROUP BY 1, 2),
+k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY sid), 0) AS before FROM runs),
+seg AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY sid) AS kept, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM k JOIN n USING (r) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM n LEFT JOIN seg USING (r)"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op8_repeats": OP8_SQL}

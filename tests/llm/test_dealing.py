@@ -90,6 +90,12 @@ def test_mixing_query(spark, sf):
     assert sorted(map(tuple, queries.op6_mixing(spark, sf).collect())) == sorted(map(tuple, rows))
 
 
+def test_mixing_query_equals_its_sql(spark, sf):
+    from tests.oracle import compare, connection
+
+    assert compare(connection(sf), queries.op6_mixing(spark, sf), queries.ORACLES["op6_mixing"]) == ""
+
+
 def test_mixing_hard_rows(spark):
     check_mix([(r.doc_id, r.text, r.source) for r in hard(spark).collect()], mixing.mixed_documents(hard(spark)).collect())
     assert mixing.mixed_documents(empty(spark)).count() == 0

@@ -94,6 +94,13 @@ def test_query(spark, sf):
     assert got == want and sum(w[1] for w in want.values()) > 0
 
 
+def test_query_equals_its_sql(spark, sf):
+    from tessera.llm.queries import ORACLES, op8_repeats
+    from tests.oracle import compare, connection
+
+    assert compare(connection(sf), op8_repeats(spark, sf), ORACLES["op8_repeats"]) == ""
+
+
 def test_hard_rows(spark):
     docs = hard(spark)
     want = dict(zip([r.doc_id for r in docs.collect()], plain([r.text for r in docs.collect()], 400), strict=True))
