@@ -38,6 +38,7 @@ SMOOTHING = 0.05
 HOST_WEIGHT = 20.0
 MIN_POSTERIOR = 0.5
 LEVELS = 3
+SALTS = 64
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -144,24 +145,23 @@ def _parent(host: Column) -> Column:
 
 def _log_table(votes: DataFrame, column: str, languages: list[str]) -> DataFrame:
     """``column``, array of log P(value | language), Dirichlet-smoothed over the values seen."""
-    values = votes.filter(F.col(column).isNotNull()).groupBy(column).agg(*[F.sum((F.col("vote") == i).cast("double")).alias(f"n{i}") for i in range(len(languages))])
-    totals = values.agg(F.count("*").alias("v"), *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(languages))])
-    logs = [F.log((F.col(f"n{i}") + 0.5) / (F.col(f"t{i}") + 0.5 * F.col("v"))) for i in range(len(languages))]
-    return values.join(F.broadcast(totals)).select(column, F.array(*logs).alias(f"{column}_log"))  # totals is one row
+    k = range(len(languages))
+    values = votes.filter(F.col(column).isNotNull()).groupBy(column).agg(*[F.sum((F.col("vote") == i).cast("double")).alias(f"n{i}") for i in k])
+    total = values.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)).alias(f"t{i}") for i in k]).first()
+    logs = [F.log((F.col(f"n{i}") + 0.5) / F.lit(total[f"t{i}"] + 0.5 * max(1, total.v))) for i in k]
+    return values.select(column, F.array(*logs).alias(f"{column}_log"))
 
 
 def host_priors(votes: DataFrame, languages: list[str]) -> DataFrame:
     """(host, prior): P(language | host), each level smoothed towards its parent."""
     k = range(len(languages))
     counted = [F.sum((F.col("vote") == i).cast("double")).alias(f"n{i}") for i in k]
-    root = votes.agg(*counted)
-    total = sum(F.coalesce(F.col(f"n{i}"), F.lit(0.0)) for i in k)
-    root = root.select(F.array(*[(F.coalesce(F.col(f"n{i}"), F.lit(0.0)) + 1.0) / (total + float(len(languages))) for i in k]).alias("root"))
-    by_host = votes.filter("host IS NOT NULL").groupBy("host").agg(*counted)
-    chains = by_host.withColumn("l0", F.col("host"))
+    overall = [x or 0.0 for x in votes.agg(*counted).first()]
+    root = F.array(*[F.lit((x + 1.0) / (sum(overall) + len(languages))) for x in overall])
+    chains = votes.filter("host IS NOT NULL").groupBy("host").agg(*counted).withColumn("l0", F.col("host"))
     for d in range(1, LEVELS):
         chains = chains.withColumn(f"l{d}", _parent(F.col(f"l{d - 1}")))
-    prior = chains.join(F.broadcast(root)).withColumn("prior", F.col("root")).drop("root")  # root is one row
+    prior = chains.withColumn("prior", root)
     for d in reversed(range(LEVELS)):
         level = chains.filter(F.col(f"l{d}").isNotNull()).groupBy(F.col(f"l{d}").alias("at")).agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in k])
         prior = prior.join(level, prior[f"l{d}"] == level["at"], "left").drop("at")
@@ -171,6 +171,13 @@ def host_priors(votes: DataFrame, languages: list[str]) -> DataFrame:
     return prior.select("host", "prior")
 
 
+def _joined_salted(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Left join of documents with a table of one row per key; a hot key is spread over ``salts`` tasks."""
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "text_hash"), F.lit(salts)).cast("int"))
+    return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", address_col: str | None = "source", sample_rows: int = SAMPLE_ROWS, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """Per document: id, text_hash, declared, host, suffix, text_language, language, posterior, accepted.
 
@@ -192,10 +199,10 @@ def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     votes = rows.filter(F.col("vote") < len(languages)) if languages else rows.filter("false")
     uniform = float(-np.log(len(names)))
     k = range(len(languages))
-    out = rows.join(host_priors(votes, languages), "host", "left") if languages else rows.withColumn("prior", F.lit(None).cast("array<double>"))
+    out = _joined_salted(rows, host_priors(votes, languages), "host") if languages else rows.withColumn("prior", F.lit(None).cast("array<double>"))
     for column in ("declared", "suffix"):
         if languages:
-            out = out.join(_log_table(votes, column, languages), column, "left")
+            out = _joined_salted(out, _log_table(votes, column, languages), column)
     if languages:
         score = [F.col("scores")[i].cast("double") + F.coalesce(F.log(F.col("prior")[i]), F.lit(uniform)) + F.coalesce(F.col("declared_log")[i], F.lit(0.0)) + F.coalesce(F.col("suffix_log")[i], F.lit(0.0)) for i in k]
         back = F.col("scores")[len(languages)].cast("double") + F.lit(uniform)
