@@ -22,8 +22,11 @@ def _literals(df: DataFrame, measures: dict[str, Column]) -> dict[str, float | N
     return df.agg(*[m.alias(k) for k, m in measures.items()]).first().asDict()
 
 
-def zscore_flags(df: DataFrame, columns: Sequence[str] | None = None, limit: float = Z_LIMIT, strict_types: bool = False) -> tuple[DataFrame, dict[str, int]]:
-    """``_anomaly_z_<column>`` and ``_is_anomaly_zscore``; sample deviation, null is no anomaly."""
+def zscore_flags(df: DataFrame, columns: Sequence[str] | None = None, limit: float = Z_LIMIT, strict_types: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``_anomaly_z_<column>`` and ``_is_anomaly_zscore``; sample deviation, null is no anomaly.
+
+    The second frame has one row of counts (``total`` and per flag), computed when read.
+    """
     columns = list(columns or numeric_columns(df, strict_types))
     stats = _literals(df, {f"{k}_{c}": f(c) for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_samp))}) if columns else {}
     flags = {}
@@ -37,12 +40,11 @@ def zscore_flags(df: DataFrame, columns: Sequence[str] | None = None, limit: flo
     for f in flags:
         whole = whole | F.col(f)
     out = out.withColumn("_is_anomaly_zscore", whole)
-    counts = out.agg(F.count_if("_is_anomaly_zscore").alias("total"), *[F.count_if(f).alias(f) for f in flags]).first().asDict()
-    return out, counts
+    return out, out.agg(F.count_if("_is_anomaly_zscore").alias("total"), *[F.count_if(f).alias(f) for f in flags])
 
 
-def iqr_flags(df: DataFrame, columns: Sequence[str] | None = None, factor: float = IQR_FACTOR, exact: bool = False) -> tuple[DataFrame, dict[str, int]]:
-    """``_anomaly_iqr_<column>`` outside the fences (null stays null) and ``_is_anomaly_iqr``."""
+def iqr_flags(df: DataFrame, columns: Sequence[str] | None = None, factor: float = IQR_FACTOR, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``_anomaly_iqr_<column>`` outside the fences (null stays null) and ``_is_anomaly_iqr``; counts as above."""
     columns = list(columns or numeric_columns(df))
     quart = (lambda c: F.percentile(c, [0.25, 0.75])) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.75], F.lit(1000)))
     stats = _literals(df, {c: quart(c) for c in columns}) if columns else {}
@@ -54,8 +56,7 @@ def iqr_flags(df: DataFrame, columns: Sequence[str] | None = None, factor: float
         flags[f"_anomaly_iqr_{c}"] = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high))
         whole = whole | F.coalesce(F.col(f"_anomaly_iqr_{c}"), F.lit(False))
     out = (df.withColumns(flags) if flags else df).withColumn("_is_anomaly_iqr", whole)
-    counts = out.agg(F.count_if("_is_anomaly_iqr").alias("total"), *[F.count_if(f).alias(f) for f in flags]).first().asDict()
-    return out, counts
+    return out, out.agg(F.count_if("_is_anomaly_iqr").alias("total"), *[F.count_if(f).alias(f) for f in flags])
 
 
 class IsolationForest:

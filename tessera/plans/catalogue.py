@@ -63,8 +63,8 @@ def rfm(spark, sf):
 
 
 @query(RFM_SQL)
-def rfm_distributed(spark, sf):
-    return rounded(gold.compute_rfm(A.orders(spark, sf), AS_OF, distributed=True), 2, "monetary")
+def rfm_one_window(spark, sf):
+    return rounded(gold.compute_rfm(A.orders(spark, sf), AS_OF, distributed=False), 2, "monetary")
 
 
 @query(f"""WITH b AS (SELECT o_custkey AS customer_id, avg(o_totalprice) AS m, count(*) AS n, date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS t FROM orders GROUP BY 1)

@@ -25,7 +25,7 @@ def evaluate(df: DataFrame, label: str, history: DataFrame | None, *, required_c
     metrics = dq.metrics_dict(dq.dq_metrics(df, required_columns, validity_rules, consistency_rules, timestamp_col, as_of, weights=weights or None))
     score, dims, rows = metrics["overall_score"], metrics["dimensions"], metrics["row_count"]
     columns = list(numeric_columns or dq.numeric_columns(df))
-    found = {"zscore": anomaly.zscore_flags(df, columns)[1]["total"], "iqr": anomaly.iqr_flags(df, columns)[1]["total"]} if columns else {}
+    found = {"zscore": anomaly.zscore_flags(df, columns)[1].first().total, "iqr": anomaly.iqr_flags(df, columns)[1].first().total} if columns else {}
     if columns and with_forest:
         scored, info = anomaly.isolation_forest(df, columns)
         found["isolation_forest"] = 0 if info["skipped"] else scored.filter("_is_anomaly_iforest").count()

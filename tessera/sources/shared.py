@@ -6,11 +6,16 @@ that is unset (tests, notebooks) does the library make one of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; a fresh local one where the session names none."""
@@ -22,13 +27,46 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there.
 
     A lost executor costs a reread of that table, never a recomputation, and
     every later reader sees the same rows.  The table's size is known, so the
-    optimizer can decide on broadcasts by it.
+    optimizer can decide on broadcasts by it.  ``keep`` spares it from ``scratch``.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffles_released(spark: SparkSession) -> None:
+    """Lets the driver notice shuffle files that nothing refers to any more, so that executors delete them.
+
+    Spark does this whenever the driver's heap is collected; after a step that moved
+    whole texts it is worth not waiting for that.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables written inside that are not kept.
+
+    What is still to be computed from them must be written with ``keep`` before.
+    """
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            dropped(spark, path)
+        del _made[first:]
