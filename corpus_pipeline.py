@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, packing, repeats, simhash
 from tessera.llm.queries import tokenizer_path
-from tessera.sources.shared import written
+from tessera.sources.shared import dropped, scratch, written
 
 #: Near duplicates: five-word shingles.  A similarity of 0.8 means about 39 of 256
 #: differing bits; 50 leaves room for the estimate's error, and 13 of 64 for that of
@@ -59,9 +59,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; a stage's intermediate tables go when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if before:
+            dropped(spark, before)
+        before = docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else None
     return docs
 
 
