@@ -45,7 +45,7 @@ NOT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notification "
     "alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs pagination pager header masthead "
     "topbar toolbar footer colophon copyright sidebar aside widget related recommended recommendations share sharing social comment comments commentlist disqus discussion reply "
-    "replies respond reader feedback rating form search".split()
+    "replies respond feedback rating form search".split()
 )
 
 TOKEN = re.compile(

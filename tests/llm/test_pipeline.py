@@ -38,3 +38,16 @@ def test_hard_rows(spark, sf):
 def test_no_stage_hides_import_errors():
     source = open(corpus_pipeline.__file__).read()
     assert "except" not in source and mixing.__name__ in ("tessera.llm.mixing",)
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    import os
+
+    from tessera.sources.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, sf)
+    assert rows.count() > 100 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows.columns)
+    assert [n.rpartition("-")[0] for n in set(os.listdir(folder)) - before if n.startswith("stage")] == ["stage-packing"]
+    assert len(set(os.listdir(folder)) - before) <= 2
