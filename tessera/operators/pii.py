@@ -260,6 +260,17 @@ def pii_drift(feedback: DataFrame, order_col: str, recent_share: float = 0.25, l
     return out.withColumns({"earlier_fn_rate": F.round("earlier_fn_rate", 4), "recent_fn_rate": F.round("recent_fn_rate", 4), "new_type": new, "drift": (new | worse) & F.lit(n >= min_events)})
 
 
+def should_use_conservative_mode(feedback: DataFrame, order_col: str) -> bool:
+    """Whether any entity type drifts: thresholds are then lowered."""
+    return not pii_drift(feedback, order_col).filter("drift").isEmpty()
+
+
+def tuned_detector(feedback: DataFrame, order_col: str) -> Detector:
+    """A detector with tuned thresholds, conservative where drift calls for it."""
+    tuned = {r.entity_type: r.threshold for r in tune_thresholds(feedback).collect()}
+    return Detector(tuned, conservative=should_use_conservative_mode(feedback, order_col))
+
+
 def append_feedback(log: DataFrame | None, events: DataFrame, order_col: str = "timestamp", keep: int = 10_000) -> DataFrame:
     """The log with new events, the latest ``keep`` of them."""
     out = events if log is None else log.unionByName(events)

@@ -7,7 +7,9 @@ made in parallel and are the same on every run.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,13 @@ def inject_issues(orders: DataFrame, key: str = "order_id", seed: int = 7) -> Da
     return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.when(u("copy") < 0.03, 2).otherwise(1)))).drop("_copies")
 
 
+def generate_all(spark: SparkSession, n_customers: int = 10_000, n_products: int = 10_000, n_orders: int = 100_000, n_reviews: int = 50_000, n_items: int = 100_000, seed: int = 42) -> dict[str, DataFrame]:
+    return {
+        "customers": customers(spark, n_customers, seed), "products": products(spark, n_products, seed), "orders": orders(spark, n_orders, n_customers, seed),
+        "reviews": reviews(spark, n_reviews, n_customers, seed), "order_items": order_items(spark, n_items, n_orders, seed),
+    }
+
+
 # --- stress records -----------------------------------------------------------
 
 POISONS = ("pii_leak", "null_spike", "schema_break", "late_data", "duplicate", "format_corrupt", "value_anomaly")
@@ -144,6 +153,29 @@ def poisoned(records: DataFrame, profile: dict[str, float], key: str = "order_id
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
 
 
+def write_records(records: DataFrame, path: str, file_format: str = "json") -> None:
+    """JSON lines, CSV with header, or Parquet."""
+    if file_format not in ("json", "csv", "parquet"):
+        raise ValueError(f"unknown format: {file_format}")
+    writer = records.write.mode("overwrite")
+    (writer.option("header", True) if file_format == "csv" else writer).format(file_format).save(path)
+
+
+def save_profiles(folder: str) -> list[str]:
+    """The profiles as YAML files that ``load_profile`` reads."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    out = []
+    for name, shares in PROFILES.items():
+        path = Path(folder) / f"{name}.yaml"
+        path.write_text(yaml.safe_dump({"name": name, "poisons": shares}, sort_keys=False))
+        out.append(str(path))
+    return out
+
+
+def load_profile(path: str) -> dict[str, float]:
+    return {k: float(v) for k, v in yaml.safe_load(Path(path).read_text())["poisons"].items()}
+
+
 def poison_summary(records: DataFrame) -> DataFrame:
     """Rows per poison and their share of all rows."""
     from pyspark.sql import Window

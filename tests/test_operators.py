@@ -204,6 +204,8 @@ def test_tuning_and_drift(spark):
     assert tuned["EMAIL"] == pytest.approx(best, abs=0.02) and tuned["PAN"] == 0.85 and pii.optimal_threshold(pii.tune_thresholds(fb), "NONE") == 0.85
     late = frame(spark, [("EMAIL", 0.5, i < 75, True, i) for i in range(100)] + [("NEW", 0.9, True, True, 200)], fb.schema)
     assert {r.entity_type: r.drift for r in pii.pii_drift(late, "seq").collect()} == {"EMAIL": True, "NEW": True}
+    assert pii.should_use_conservative_mode(late, "seq") and not pii.should_use_conservative_mode(fb.filter("entity_type = 'EMAIL'"), "seq")
+    assert pii.tuned_detector(late, "seq").conservative
     assert pii.append_feedback(fb, late, "seq", keep=10).count() == 10
 
 

@@ -86,7 +86,7 @@ def test_contracts_and_config_yaml(tmp_path):
     assert contracts.load_config(str(tmp_path / "conf.yml")).quality.window == 7 and contracts.load_config("/none").quality.window == 20
 
 
-def test_generators_are_seeded_and_faulty(spark):
+def test_generators_are_seeded_and_faulty(spark, tmp_path):
     c, o = generators.customers(spark, 500), generators.orders(spark, 2000, 500)
     assert sorted(map(tuple, c.collect()), key=repr) == sorted(map(tuple, generators.customers(spark, 500).collect()), key=repr) and 500 < c.count() < 540
     assert 0.005 < o.filter("order_value < 0").count() / 2000 < 0.05 and generators.order_items(spark, 10, 5).count() == 10
@@ -98,6 +98,11 @@ def test_generators_are_seeded_and_faulty(spark):
         p = generators.poisoned(notes, profile)
         kinds = {r.poison for r in generators.poison_summary(p).collect()}
         assert kinds == {"clean", *profile} or name == "full_chaos"
+    for f in ("json", "csv", "parquet"):
+        generators.write_records(p, str(tmp_path / f), f)
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == p.count()
+    assert {generators.load_profile(x)["pii_leak"] for x in generators.save_profiles(str(tmp_path / "y")) if "pii_heavy" in x} == {0.5}
+    assert set(generators.generate_all(spark, 5, 5, 5, 5, 5)) == {"customers", "products", "orders", "reviews", "order_items"}
     assert p.filter("_poison = 'schema_break' AND order_value <> 'not_a_number'").count() == 0
 
 
