@@ -38,7 +38,16 @@ def written(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     if not keep:
         _made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def forgotten(table: DataFrame) -> None:
+    """Deletes a table that ``written`` returned and that no later step reads."""
+    dropped(table.sparkSession, table._tessera_path)
+    if table._tessera_path in _made:
+        _made.remove(table._tessera_path)
 
 
 def shuffles_released(spark: SparkSession) -> None:
