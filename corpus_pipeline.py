@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, packing, repeats, simhash
 from tessera.llm.queries import tokenizer_path
-from tessera.sources.shared import dropped, scratch, written
+from tessera.sources.shared import forgotten, scratch, written
 
 #: Near duplicates: five-word shingles.  A similarity of 0.8 means about 39 of 256
 #: differing bits; 50 leaves room for the estimate's error, and 13 of 64 for that of
@@ -64,9 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         with scratch(spark):
             docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
-        if before:
-            dropped(spark, before)
-        before = docs.inputFiles()[0].rpartition("/")[0] if docs.inputFiles() else None
+        if before is not None:
+            forgotten(before)
+        before = docs
     return docs
 
 
