@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import chunks
+from tessera.llm.arrow import chunks, memory_returned
 from tessera.sources.shared import written
 
 WINDOW = 4096
@@ -266,6 +266,8 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], tokenize: Callable[[], ob
         finish(left, True)
     if rows:
         yield _batch(rows, _NAMES, _KINDS)
+    del tokenizer
+    memory_returned()
 
 
 def _merge_windows(key, table: pa.Table, window: int) -> pa.Table:
