@@ -6,7 +6,6 @@ that is unset (tests, notebooks) does the library make one of its own.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,16 +49,6 @@ def forgotten(table: DataFrame) -> None:
         _made.remove(table._tessera_path)
 
 
-def shuffles_released(spark: SparkSession) -> None:
-    """Lets the driver notice shuffle files that nothing refers to any more, so that executors delete them.
-
-    Spark does this whenever the driver's heap is collected; after a step that moved
-    whole texts it is worth not waiting for that.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
