@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from tessera.llm.arrow import chunks
-from tessera.sources.shared import written
+from tessera.sources.shared import forgotten, written
 
 LENGTH = 400
 GRAM = 64
@@ -209,6 +209,8 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases"), F.sum("n").alias("all")).filter("all > 1").select("trigger", "phrases")
     open_phrases = dictionary.join(shared, "trigger").filter("n > 1 OR phrases > 1")
     seen = written(parse.join(open_phrases, phrase).select("doc_id", "text_hash", "at", "d_low", "d_high", "n", "phrases", (place == F.col("first")).alias("is_first")), "open-phrases")
+    for table in (parse, dictionary):
+        forgotten(table)
     settled = seen.filter("n > 1").select("doc_id", "text_hash", (F.col("at") - F.col("d_high")).alias("start"), (F.col("d_high") - F.col("d_low") + 1).alias("count"))
 
     # Blocks of phrases that share their trigger with other phrases, one per distinct phrase.
