@@ -16,10 +16,10 @@ from tessera.llm import language, mixing, packing, repeats, simhash
 from tessera.llm.queries import tokenizer_path
 from tessera.sources.shared import forgotten, scratch, written
 
-#: Near duplicates: five-word shingles.  A similarity of 0.8 means about 39 of 256
-#: differing bits; 50 leaves room for the estimate's error, and 13 of 64 for that of
-#: the word that finds candidates.
-NEAR = {"shingle": 5, "radius": 13, "parts": 7, "words": 4, "whole_radius": 50}
+#: Near duplicates: five-word shingles, Jaccard similarity of at least 0.8 on whole texts.
+#: 0.8 means about 39 of 256 differing bits, give or take 6, and 10 of 64, give or take 3:
+#: 60 of all and 13 in one of two words propose a pair.
+NEAR = {"shingle": 5, "radius": 13, "parts": 7, "words": 4, "whole_radius": 60, "searched": 2, "similarity": 0.8}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,11 @@ smallest node, which is mostly the same star from bucket to bucket.
 
 Equal fingerprints are one node from the start, so exact copies cost nothing here.
 
+Where a ``similarity`` is given, bits only propose: the texts of each proposed group
+are compared by the Jaccard similarity of their whole sets of distinct shingles (as
+64-bit hashes), and only pairs that reach it are links.  A pair is left out only where
+both already hang together by such links.
+
 Null, empty and blank texts have fingerprint 0 and are linked like any other; texts
 with fewer words than a shingle hash as one.  Repeated rows share a component, an
 empty table gives no rows, and other columns are ignored.
@@ -24,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -40,6 +45,8 @@ SEED = 42
 PAIRS_AT_ONCE = 1 << 20
 SMALL_BUCKET = 64
 STARS_AT_ONCE = 1 << 18
+#: Texts of a proposed group that one task compares; larger groups go to a task per pair of blocks.
+BLOCK_NODES = 4096
 
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -71,7 +78,15 @@ def _majority(hashes: bytes) -> int:
 
 def simhash(text: bytes, shingle: int = SHINGLE, words: int = 1) -> list[int]:
     """Unsigned 64-bit fingerprints of one UTF-8 text: its SimHash, and ``words`` - 1 further ones."""
-    hashes = shingle_hashes(text, shingle)
+    return _words_of(shingle_hashes(text, shingle), words)
+
+
+def shingle_set(hashes: bytes) -> np.ndarray:
+    """The distinct shingles of a text, sorted."""
+    return np.unique(np.frombuffer(hashes, np.uint64))
+
+
+def _words_of(hashes: bytes, words: int) -> list[int]:
     if not hashes:
         return [0] * words
     out = [_majority(hashes)]
@@ -87,20 +102,37 @@ def _columns(words: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, words))]
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words: int, sets: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_parts(batch.column(1))
         raw = data.tobytes()
-        out = np.array([simhash(raw[i:j], shingle, words) for i, j in itertools.pairwise(off.tolist())], np.uint64).reshape(-1, words)
+        found, names = [], []
+        for i, j in itertools.pairwise(off.tolist()):
+            hashes = shingle_hashes(raw[i:j], shingle)
+            found.append(_words_of(hashes, words))
+            if sets:
+                names.append(xxh64_digest(shingle_set(hashes).tobytes(), SEED))
+        out = np.array(found, np.uint64).reshape(-1, words)
         cols = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(words)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_columns(words)])
+        if sets:
+            cols += [pa.array(np.frombuffer(b"".join(names), np.int64)), batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_columns(words), *(["shingles", "text_hash"] if sets else [])])
+
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id, fp...): the fingerprints of every whole text as signed longs.
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """(doc_id, fp...): the fingerprints of every whole text as signed longs."""
+    With ``sets`` also ``shingles``, a hash of the text's set of shingles, and ``text_hash``.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"{c} long" for c in ["doc_id", *_columns(words)])
-    return rows.mapInArrow(lambda it: _fingerprint_batches(it, shingle, words), schema)
+    if sets:
+        rows = rows.withColumn("text_hash", _text_hash("text"))
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *_columns(words), *(["shingles", "text_hash"] if sets else [])])
+    return rows.mapInArrow(lambda it: _fingerprint_batches(it, shingle, words, sets), schema)
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def _bit_matrix(fp: np.ndarray) -> np.ndarray:
@@ -315,23 +347,110 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, whole_radi
     return dealt.mapInArrow(lambda it: _verify_batches(it, radius, whole_radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, words: int = 1, whole_radius: int | None = None) -> DataFrame:
+def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """(node, node) links that leave whole the components of all pairs with that Jaccard similarity."""
+    m = len(node)
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(m), sizes)[np.argsort(tokens, kind="stable")]
+    count = np.bincount(tokens)
+    first = np.cumsum(count) - count
+    label = np.arange(m)
+    for i in range(m - 1):
+        near = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-6
+        rest = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & near[i + 1 :])
+        if not len(rest):
+            continue
+        mine = tokens[ends[i] - sizes[i] : ends[i]]
+        n = count[mine]
+        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owners[at], minlength=m)[rest]
+        hits = rest[both / np.maximum(sizes[i] + sizes[rest] - both, 1) >= similarity]
+        if len(hits):
+            joined = np.unique(label[np.r_[i, hits]])
+            label[np.isin(label, joined)] = joined[0]
+    moved = np.flatnonzero(node != node[label])
+    return np.column_stack([node[moved], node[label[moved]]])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch], similarity: float, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Links within runs of rows (key, node, text) of one key, which may go over several batches."""
+    key, nodes, sets, out = None, [], [], []
+
+    def flushed() -> pa.RecordBatch:
+        pairs = np.concatenate(out)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        for k, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if k != key:
+                if len(nodes) > 1:
+                    out.append(_similar(np.array(nodes), sets, similarity))
+                key, nodes, sets = k, [], []
+            nodes.append(node)
+            sets.append(shingle_set(shingle_hashes((text.as_py() or "").encode(), shingle)))
+        if out:
+            yield flushed()
+    if len(nodes) > 1:
+        out.append(_similar(np.array(nodes), sets, similarity))
+        yield flushed()
+
+
+def similar_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): links by exact similarity within the components of members (node, component, doc_id, text_hash).
+
+    A component above BLOCK_NODES nodes is dealt in blocks, each pair of blocks to a task.
+    """
+    large = members.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_NODES)
+    large = large.select("component", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks"))
+    dealt = members.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), _text_hash(text_col).alias("_hash"), F.col(text_col).cast("string").alias("text"))
+    found = texts.join(dealt, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = found.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "text")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = keyed.repartition(width, "key").sortWithinPartitions("key")
+    return runs.mapInArrow(lambda it: _similar_batches(it, similarity, shingle), "a long, b long").distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, words: int = 1, whole_radius: int | None = None, searched: int = 1, similarity: float | None = None
+) -> DataFrame:
     """(doc_id, fp..., component_id): the smallest doc_id that a document reaches over links.
 
     Links join distinct fingerprints, documents only look up theirs, so the work
     follows the number of different texts, not the square of a group of copies.
-    With several ``words``, candidates come from the first and ``whole_radius``
-    bounds the differing bits of all, a closer estimate of similarity.
+    With several ``words``, candidates come from the first ``searched`` of them and
+    ``whole_radius`` bounds the differing bits of all, a closer estimate of
+    similarity.  With ``similarity`` these links only propose groups, in which whole
+    texts are compared.
     """
     fps = _columns(words)
-    prints = written(fingerprints(docs, id_col, text_col, shingle, words), "simhash")
-    node = F.col("fp") if words == 1 else F.xxhash64(*fps)
-    nodes = written(prints.groupBy(*fps).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "simhash-nodes")
-    groups = connected_components(links(nodes, radius, parts, whole_radius), "a", "b").withColumnRenamed("node", "linked")
-    named = nodes.join(groups, nodes["node"] == groups["linked"], "left").select(*fps, "first_id", F.coalesce("component", "node").alias("component"))
+    exact = similarity is not None
+    keys = [*fps, "shingles"] if exact else fps
+    prints = written(fingerprints(docs, id_col, text_col, shingle, words, exact), "simhash")
+    node = F.col("fp") if keys == ["fp"] else F.xxhash64(*keys)
+    sample = [F.min(F.struct("doc_id", "text_hash")).alias("sample")] if exact else []
+    nodes = written(prints.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), *sample).withColumn("node", node), "simhash-nodes")
+    found = None
+    for k in range(searched):
+        turned = nodes.select("node", *[F.col(c).alias(name) for c, name in zip([fps[k], *fps[:k], *fps[k + 1 :]], fps, strict=True)])
+        linked = links(turned, radius, parts, whole_radius)
+        linked = written(linked, "links") if searched > 1 else linked
+        found = linked if found is None else found.unionByName(linked)
+    groups = connected_components(found, "a", "b")
+    if exact:
+        members = nodes.join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"))
+        members = written(members.select("node", "component", "sample.doc_id", "sample.text_hash"), "proposed")
+        groups = connected_components(written(similar_links(docs, members, similarity, shingle, id_col, text_col), "links"), "a", "b")
+    groups = groups.withColumnRenamed("node", "linked")
+    named = nodes.join(groups, nodes["node"] == groups["linked"], "left").select(*keys, "first_id", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    lookup = named.join(lowest, "component").select(*fps, "component_id")
-    return prints.join(lookup, fps).select("doc_id", *fps, "component_id")
+    lookup = named.join(lowest, "component").select(*keys, "component_id")
+    return prints.join(lookup, keys).select("doc_id", *fps, "component_id")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

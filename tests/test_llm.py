@@ -1,0 +1,39 @@
+"""Training-data operators against brute force on small tables."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from tessera.llm import simhash
+
+
+def _shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_near_duplicates_are_exactly_the_texts_of_similarity_08(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(9999)}" for _ in range(250)]
+        texts.append(" ".join(words))
+        for edits in (4, 5, 6, 7, 8):
+            copy = list(words)
+            for at in rng.sample(range(5, 245), edits):
+                copy[at] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(copy))
+    sets = [_shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (simhash.BLOCK_NODES, 2):
+        monkeypatch.setattr(simhash, "BLOCK_NODES", block)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()}
+        assert got == dict(enumerate(want))
+    assert 60 < len(set(want)) < 360
