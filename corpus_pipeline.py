@@ -20,6 +20,8 @@ from tessera.sources.shared import forgotten, scratch, written
 #: 0.8 means about 39 of 256 differing bits, give or take 6, and 10 of 64, give or take 3:
 #: 60 of all and 13 in one of two words propose a pair.
 NEAR = {"shingle": 5, "radius": 13, "parts": 7, "words": 4, "whole_radius": 60, "searched": 2, "similarity": 0.8}
+#: The shortest run of words that counts as repeated: more than 50.
+REPEATED_WORDS = 51
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long strings that occur elsewhere; cut characters go as a whole."""
-    cut = repeats.removed_repeats(docs)
+    """Texts without runs of more than 50 words that occur elsewhere."""
+    cut = repeats.removed_word_runs(docs, words=REPEATED_WORDS)
     return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -18,10 +18,11 @@ CHUNK_BYTES = 2 << 20
 
 
 def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Flat UTF-8 bytes and n+1 int64 offsets of a string column; null is empty."""
+    """Flat bytes (UTF-8 of strings) and n+1 int64 offsets of a string or binary column; null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     bufs = column.buffers()
     off = np.frombuffer(bufs[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None and bufs[2].size else np.zeros(0, np.uint8)

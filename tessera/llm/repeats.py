@@ -19,6 +19,10 @@ of all suffixes.  Here only equality up to ``length`` bytes counts, so suffixes
 put into classes by 128-bit hashes instead of being sorted: classes are counted with
 map-side combination and no class has to fit into a task.
 
+Runs of words instead of bytes go the same way: ``removed_word_runs`` writes a text as
+four bytes of hash per word, so that a run of n words is a string of 4 n bytes
+whatever its words' lengths, and cuts the words that the strings found cover.
+
 Matches never cross documents.  Null text is empty, repeated rows count as
 repetitions, texts shorter than ``length`` keep everything, an empty table gives no
 rows, other columns are ignored.
@@ -27,13 +31,14 @@ rows, other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_128_digest, xxh32_digest
 
 from tessera.llm.arrow import chunks
 from tessera.sources.shared import forgotten, written
@@ -46,6 +51,10 @@ PLACE_BITS = 28
 CHUNK_BYTES = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
+#: Words are between ASCII white space; each becomes so many bytes.
+WORD = re.compile(rb"\S+")
+CODE = 4
+WORD_GRAM = 8
 
 
 class _Powers:
@@ -142,7 +151,8 @@ def _block_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         rows: list[tuple] = []
         keys: list[bytes] = []
         for doc, text_hash, text, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            data = text.as_py().encode()
+            data = text.as_py()
+            data = data.encode() if isinstance(data, str) else data
             n = len(data)
             for at, low, high, weight in zip(phrases["at"], phrases["d_low"], phrases["d_high"], phrases["weight"], strict=True):
                 for k in range(low // BLOCK, high // BLOCK + 1):
@@ -167,7 +177,24 @@ def _blocks(rows: list[tuple], keys: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "k1", "k2", "sides", "base", "weight"])
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _word_codes(text: str) -> bytes:
+    return b"".join(map(xxh32_digest, WORD.findall(text.encode())))
+
+
+def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = pa.array([_word_codes(x.as_py() or "") for x in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["doc_id", "text_hash", "text"])
+
+
+def _spans_of_words(data: bytes, starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """Byte spans of the whole words in spans of codes."""
+    words = [m.span() for m in WORD.finditer(data)]
+    whole = [(-(-i // CODE), j // CODE) for i, j in zip(starts, ends, strict=True)]
+    return [words[i][0] for i, j in whole if i < j], [words[j - 1][1] for i, j in whole if i < j]
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool, words: bool) -> Iterator[pa.RecordBatch]:
     """Applies marked strings: what is kept of each text, and how much went."""
     for batch in batches:
         out = []
@@ -183,7 +210,10 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool) ->
                 e = np.maximum.accumulate(s + np.array(count)[order] - 1 + length)
                 head = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
                 ends = e[np.r_[head[1:], len(s)] - 1]
-                for i, j in zip(s[head].tolist(), ends.tolist(), strict=True):
+                starts, ends = s[head].tolist(), ends.tolist()
+                if words:
+                    starts, ends = _spans_of_words(data, starts, ends)
+                for i, j in zip(starts, ends, strict=True):
                     kept.append(data[at:i])
                     at, spans = j, spans + 1
             kept.append(data[at:])
@@ -252,9 +282,21 @@ def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Ids need not be unique: texts are told apart by id and hash.  Input columns named
     as an output are replaced; names that start with ``__tessera`` are reserved.
     """
+    return _removed(docs, id_col, text_col, length, gram, texts, False)
+
+
+def removed_word_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int, texts: bool = True) -> DataFrame:
+    """As ``removed_repeats``, for every run of ``words`` words that also starts anywhere else; the white space inside goes with them."""
+    return _removed(docs, id_col, text_col, words * CODE, min(words, WORD_GRAM) * CODE, texts, True)
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, texts: bool, words: bool) -> DataFrame:
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     keyed = docs.withColumns({"__tessera_id": F.col(id_col).cast("long"), "__tessera_hash": text_key(F.col(text_col)), "__tessera_text": F.col(text_col).cast("string")})
-    long = keyed.filter(F.octet_length("__tessera_text") >= length).select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
+    long = keyed.select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
+    if words:
+        long = long.mapInArrow(_code_batches, "doc_id long, text_hash long, text binary")
+    long = long.filter(F.octet_length("text") >= length)
     marks = repeated_strings(long, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("m"))
     marks = marks.select(F.col("doc_id").alias("__tessera_doc"), F.col("text_hash").alias("__tessera_key"), F.col("m.start").alias("__tessera_start"), F.col("m.count").alias("__tessera_count"))
     joined = keyed.join(marks, keyed["__tessera_id"].eqNullSafe(marks["__tessera_doc"]) & (keyed["__tessera_hash"] == marks["__tessera_key"]), "left")
@@ -264,4 +306,4 @@ def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fields = [f for f in rows.schema.fields if f.name in rest]
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(lambda it: _cut_batches(it, length, texts), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))
+    return rows.mapInArrow(lambda it: _cut_batches(it, length, texts, words), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))

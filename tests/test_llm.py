@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from tessera.llm import simhash
+from tessera.llm import repeats, simhash
 
 
 def _shingles(text):
@@ -37,3 +37,38 @@ def test_near_duplicates_are_exactly_the_texts_of_similarity_08(spark, monkeypat
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()}
         assert got == dict(enumerate(want))
     assert 60 < len(set(want)) < 360
+
+
+def _without_runs(texts, n):
+    """Brute force: the words that no run of n words met twice covers."""
+    runs = {}
+    for t in texts:
+        words = t.split()
+        for i in range(len(words) - n + 1):
+            runs[tuple(words[i : i + n])] = runs.get(tuple(words[i : i + n]), 0) + 1
+    out = []
+    for t in texts:
+        words = t.split()
+        gone = {k for i in range(len(words) - n + 1) if runs[tuple(words[i : i + n])] > 1 for k in range(i, i + n)}
+        out.append([w for k, w in enumerate(words) if k not in gone])
+    return out
+
+
+def test_pipeline_cuts_every_repeated_run_of_more_than_50_words(spark):
+    rng = random.Random(3)
+
+    def some(n, size):
+        return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=size)) for _ in range(n)]
+
+    texts = []
+    for n, size in [(50, 12), (51, 2), (51, 5), (52, 6), (64, 3), (90, 7), (51, 1)]:
+        passage = some(n, size)
+        for _ in range(3):
+            texts.append(" ".join([*some(rng.randrange(60), 6), *passage, *some(rng.randrange(60), 6)]))
+    texts += [" ".join(["na"] * 130), "", " ".join(some(51, 4)) + "\n end"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(99, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text.split() for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == dict(enumerate(_without_runs(texts, 51))) | {99: []}
+    found = repeats.removed_repeats(docs.filter("doc_id BETWEEN 3 AND 5"))
+    assert found.agg({"n_removed": "sum"}).first()[0] == 0
