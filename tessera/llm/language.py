@@ -9,8 +9,10 @@ The posterior of a document's language multiplies four pieces of evidence:
 * a prior of the host, smoothed towards its parent domains and at last towards all
   documents; counts come from grouped aggregation of what the texts alone say.
 
-The trigram models are fitted on about ``sample_rows`` documents with a declared
-language, drawn by a hash of their ids; all tables of counts cover all documents.
+Every declared language gets a trigram model.  They are fitted on about ``sample_rows``
+documents with a declared language, dealt evenly to the languages but not below
+``LEAST_PER_LANGUAGE`` each, drawn by a hash of their ids; all tables of counts cover
+all documents.
 
 A document is rejected when its text gives no evidence (null, empty, no letters),
 when a background model of evenly spread trigrams explains it best (``und``), or
@@ -31,7 +33,8 @@ from tessera.llm.arrow import chunks
 from tessera.sources.shared import written
 
 SAMPLE_ROWS = 20_000
-MAX_LANGUAGES = 40
+LEAST_PER_LANGUAGE = 500
+LANGUAGES_AT_ONCE = 32
 TRIGRAM_BITS = 15
 TEMPER = 0.25
 SMOOTHING = 0.05
@@ -87,21 +90,20 @@ def _count_batches(batches, languages: list[str]):
 def text_model(docs: DataFrame, text: Column, declared: Column, key: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of trigram cells; the last row is ``und``.
 
-    ``sample_rows`` bounds the expected number of documents the models are fitted on.
+    ``sample_rows`` bounds the expected number of documents the models are fitted on,
+    as long as it leaves LEAST_PER_LANGUAGE to each language.
     """
     rows = docs.select(declared.alias("lang"), text.alias("text"), key.alias("key")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(r.lang for r in sizes)
-    share = {r.lang: min(1.0, sample_rows / max(1, len(languages)) / r["count"]) for r in sizes}
+    each = max(sample_rows / max(1, len(languages)), LEAST_PER_LANGUAGE)
+    share = {r.lang: min(1.0, each / r["count"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    limit = F.lit(0.0)
-    for name, p in share.items():
-        limit = F.when(F.col("lang") == name, p).otherwise(limit)
+    limit = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])[F.col("lang")] if share else F.lit(0.0)
     sample = rows.filter(draw < limit).select("lang", "text")
-    counts = sample.mapInArrow(lambda it: _count_batches(it, languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
+    counts = sample.mapInArrow(lambda it: _count_batches(it, languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages) + 1, 1 << TRIGRAM_BITS), SMOOTHING)
-    for r in counts:
-        table[r.lang, r.cell] += r.n
+    table[counts["lang"].to_numpy(), counts["cell"].to_numpy()] += counts["n"].to_numpy()
     log = np.log(table / table.sum(1, keepdims=True))
     log = np.concatenate([log, np.zeros((len(log), 1))], axis=1)
     return languages, log.astype(np.float32)
@@ -109,7 +111,8 @@ def text_model(docs: DataFrame, text: Column, declared: Column, key: Column, sam
 
 def text_scores(model: np.ndarray):
     """Arrow function: tempered log likelihoods per language, null without evidence."""
-    table = np.ascontiguousarray(model.T)
+    width = len(model)
+    tables = [np.ascontiguousarray(model[i : i + LANGUAGES_AT_ONCE].T) for i in range(0, width, LANGUAGES_AT_ONCE)]
     none = 1 << TRIGRAM_BITS
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -118,16 +121,18 @@ def text_scores(model: np.ndarray):
         for _, _, data, off in chunks(text, 1 << 20):
             cell = trigram_cells(data, off)
             n = len(off) - 1
-            sums = np.zeros((n, table.shape[1]), np.float32)
+            sums = np.zeros((n, width), np.float32)
             seen = np.zeros(n, np.int64)
             full = np.flatnonzero(np.diff(off))
             if len(full):
-                sums[full] = np.add.reduceat(table[cell], off[:-1][full], axis=0)
+                for k, table in enumerate(tables):
+                    at = k * LANGUAGES_AT_ONCE
+                    sums[full, at : at + table.shape[1]] = np.add.reduceat(table[cell], off[:-1][full], axis=0)
                 seen[full] = np.add.reduceat((cell != none).astype(np.int64), off[:-1][full])
             sums[seen == 0] = np.nan
             parts.append(sums * np.float32(TEMPER))
-        flat = np.concatenate(parts) if parts else np.zeros((0, table.shape[1]), np.float32)
-        rows = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), table.shape[1]).cast(pa.list_(pa.float32()))
+        flat = np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), width).cast(pa.list_(pa.float32()))
         return pa.array([None], rows.type).take(pa.array([], pa.int64())) if not len(flat) else rows
 
     return scores

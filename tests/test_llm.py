@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from tessera.llm import repeats, simhash
+from tessera.llm import language, repeats, simhash
 
 
 def _shingles(text):
@@ -72,3 +72,18 @@ def test_pipeline_cuts_every_repeated_run_of_more_than_50_words(spark):
     assert got == dict(enumerate(_without_runs(texts, 51))) | {99: []}
     found = repeats.removed_repeats(docs.filter("doc_id BETWEEN 3 AND 5"))
     assert found.agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_every_declared_language_has_a_model(spark):
+    names = [f"{a}{b}" for a in "abcdefg" for b in "tuvwxyz"][:45]
+    rng = random.Random(9)
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for n in names}
+    rows = []
+    for n in names:
+        for _ in range(4 if n == names[-1] else 8):
+            rows.append((len(rows), " ".join(rng.choices(words[n], k=60)), n, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found, model = language.text_model(docs, docs["text"], docs["lang"], docs["doc_id"])
+    assert found == sorted(names)
+    scored = docs.select("lang", language.text_scores(model)("text").alias("scores")).collect()
+    assert all(len(r.scores) == 46 and found[r.scores.index(max(r.scores))] == r.lang for r in scored)
