@@ -9,8 +9,9 @@ in the same part of the page: headings, short paragraphs, list items.
 
 Parts that the markup itself sets apart (navigation, headers and footers, asides,
 forms, hidden parts, scripts, and parts whose class, id or role names them as menus,
-notices, adverts, comments and the like) never count.  Where a page has ``article`` or
-``main`` parts with text, only these are looked at.
+notices, adverts, comments and the like) never count.  Text in ``article`` or ``main``
+parts gets a higher ratio, no more: the threshold decides over it and over what stands
+outside alike.
 
 White space in a block, character references decoded, becomes single spaces; empty
 blocks go; blocks are joined by one line feed.  Null, empty and text-free pages give
@@ -55,6 +56,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+#: Factor of the ratio of paths in ``article`` or ``main``.
+MAIN_PRIOR = 1.5
 PUNCTUATION = re.compile(r"[,.;:!?…。，；：！？、]")
 
 
@@ -196,7 +199,8 @@ def content_paths(blocks: list[Block]) -> set[str]:
         mean = sum(sizes) / len(own)
         spread = (sum((s - mean) ** 2 for s in sizes) / len(own)) ** 0.5
         marks = sum(len(PUNCTUATION.findall(b.text)) for b in own) / len(own)
-        fused[path] = log1p(mean) * log1p(marks + 0.2) * (1 + log1p(spread))
+        prior = 1 + (MAIN_PRIOR - 1) * sum(b.element.main for b in own) / len(own)
+        fused[path] = prior * log1p(mean) * log1p(marks + 0.2) * (1 + log1p(spread))
     smoothed = _smooth([fused[b.element.path] for b in blocks])
     totals: dict[str, list[float]] = defaultdict(list)
     for b, v in zip(blocks, smoothed, strict=True):
@@ -209,8 +213,6 @@ def content_paths(blocks: list[Block]) -> set[str]:
 
 def main_text(page: str | None) -> str:
     blocks = [b for b in blocks_of(page or "") if not b.element.shut]
-    inside = [b for b in blocks if b.element.main]
-    blocks = inside or blocks
     if not blocks:
         return ""
     chosen = content_paths(blocks)
@@ -226,7 +228,7 @@ def main_text(page: str | None) -> str:
     beside = {id(b.element.parent) for b in picked}
 
     def belongs(b: Block) -> bool:
-        if inside or b.element.path in chosen:
+        if b.element.path in chosen:
             return True
         e, last = b.element, None
         while e is not None and id(e) not in common:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from tessera.llm import language, repeats, simhash
+from tessera.llm import html_text, language, repeats, simhash
 
 
 def _shingles(text):
@@ -87,3 +87,15 @@ def test_every_declared_language_has_a_model(spark):
     assert found == sorted(names)
     scored = docs.select("lang", language.text_scores(model)("text").alias("scores")).collect()
     assert all(len(r.scores) == 46 and found[r.scores.index(max(r.scores))] == r.lang for r in scored)
+
+
+def test_ratios_decide_over_article_and_what_stands_outside_it():
+    long = [f"The {w} story goes on, with clauses, and marks; it says much more than a teaser does, as stories do. " * 3 for w in ("first", "second", "third")]
+    story = "".join(f"<p>{x}</p>" for x in long)
+    want = [x.strip() for x in long]
+    teasers = "".join(f"<article><h3>Teaser {k}</h3><span>Read on</span></article>" for k in range(4))
+    page = f"<html><body><div class=story>{story}</div><div>{teasers}</div></body></html>"
+    assert html_text.main_text(page).split("\n") == want
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Another page {k}</a></li>" for k in range(6)) + "</ul>"
+    page = f"<html><body><article><h1>Title</h1>{story}<p>Short.</p>{links}</article><div>Imprint</div></body></html>"
+    assert html_text.main_text(page).split("\n") == ["Title", *want, "Short."]
