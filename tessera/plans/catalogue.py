@@ -482,6 +482,15 @@ def components(spark, sf):
     return connected_components(e, "a", "b")
 
 
+# No SQL: the chains have as many hops as parts / 7, which the recursion takes one by one.
+@query()
+def components_whole(spark, sf):
+    from tessera.operators.graph import connected_components
+
+    e = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_partkey") + 7).alias("b"))
+    return connected_components(e, "a", "b")
+
+
 @query(FUZZY_SQL + ", gid AS (SELECT p.*, coalesce((SELECT min(id_left) FROM pairs WHERE id_right = p.customer_id), p.customer_id) AS g FROM people p) SELECT g AS _golden_id, arg_max(customer_id, (registration_date, -customer_id)) AS customer_id, bool_or(consent_marketing) AS consent_marketing, bool_or(consent_data_processing) AS consent_data_processing FROM gid GROUP BY 1")
 def golden_records(spark, sf):
     linked = entity.fuzzy_match_link(A.people(spark, sf))
