@@ -47,3 +47,9 @@ def memory_returned() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:
         trim(0)
+
+
+def returned_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, and freed memory goes back to the system when they are over."""
+    yield from batches
+    memory_returned()

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh32_digest
 
-from tessera.llm.arrow import chunks
+from tessera.llm.arrow import chunks, returned_after
 from tessera.sources.shared import forgotten, written
 
 LENGTH = 400
@@ -230,7 +230,7 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
     ``texts`` has doc_id, text_hash and text.
     """
-    parse = written(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: _parse_batches(it, length, gram), PARSE), "parse")
+    parse = written(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: returned_after(_parse_batches(it, length, gram)), PARSE), "parse")
     # The dictionary: distinct phrases with their number of occurrences.
     phrase = ["trigger", "p1", "p2"]
     place = F.xxhash64("doc_id", "text_hash", "at")  # one occurrence, the least by hash, stands for its phrase
@@ -250,7 +250,7 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     asked = asked.select("doc_id", "text_hash", F.struct(*[F.col("list")[k].alias(k) for k in fields]).alias("phrases"))
     both = (texts["doc_id"].eqNullSafe(asked["doc_id"])) & (texts["text_hash"] == asked["text_hash"])
     to_cut = texts.join(asked, both).select(texts["doc_id"], texts["text_hash"], texts["text"], "phrases")
-    blocks = written(to_cut.mapInArrow(lambda it: _block_batches(it, length), BLOCKS), "blocks")
+    blocks = written(to_cut.mapInArrow(lambda it: returned_after(_block_batches(it, length)), BLOCKS), "blocks")
     core, block = ["k1", "k2"], ["k1", "k2", "sides"]
     classes = blocks.groupBy(*block).agg(F.sum("weight").alias("weight"))
     cores = classes.groupBy(*core).agg(F.sum("weight").alias("all"), F.count("*").alias("classes")).filter("all > 1").select(*core, "classes")
@@ -295,7 +295,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     keyed = docs.withColumns({"__tessera_id": F.col(id_col).cast("long"), "__tessera_hash": text_key(F.col(text_col)), "__tessera_text": F.col(text_col).cast("string")})
     long = keyed.select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
     if words:
-        long = long.mapInArrow(_code_batches, "doc_id long, text_hash long, text binary")
+        long = long.mapInArrow(lambda it: returned_after(_code_batches(it)), "doc_id long, text_hash long, text binary")
     long = long.filter(F.octet_length("text") >= length)
     marks = repeated_strings(long, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("m"))
     marks = marks.select(F.col("doc_id").alias("__tessera_doc"), F.col("text_hash").alias("__tessera_key"), F.col("m.start").alias("__tessera_start"), F.col("m.count").alias("__tessera_count"))
@@ -306,4 +306,4 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
     fields = [f for f in rows.schema.fields if f.name in rest]
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(lambda it: _cut_batches(it, length, texts, words), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))
+    return rows.mapInArrow(lambda it: returned_after(_cut_batches(it, length, texts, words)), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from tessera.llm.arrow import text_parts
+from tessera.llm.arrow import returned_after, text_parts
 from tessera.operators.graph import connected_components
 from tessera.sources.shared import written
 
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if sets:
         rows = rows.withColumn("text_hash", _text_hash("text"))
     schema = ", ".join(f"{c} long" for c in ["doc_id", *_columns(words), *(["shingles", "text_hash"] if sets else [])])
-    return rows.mapInArrow(lambda it: _fingerprint_batches(it, shingle, words, sets), schema)
+    return rows.mapInArrow(lambda it: returned_after(_fingerprint_batches(it, shingle, words, sets)), schema)
 
 
 def _text_hash(text: str) -> Column:
@@ -341,10 +341,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, whole_radi
     thresholds = allocate(groups, both, n, radius)
     fps = [c for c in nodes.columns if c.startswith("fp")]
     schema = "key long, filed boolean, node long, " + ", ".join(f"{c} long" for c in fps)
-    probes = nodes.select("node", *fps).mapInArrow(lambda it: _file_and_probe(it, groups, thresholds), schema)
+    probes = nodes.select("node", *fps).mapInArrow(lambda it: returned_after(_file_and_probe(it, groups, thresholds)), schema)
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = probes.repartition(width, "key").sortWithinPartitions("key", F.col("filed").desc())
-    return dealt.mapInArrow(lambda it: _verify_batches(it, radius, whole_radius), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda it: returned_after(_verify_batches(it, radius, whole_radius)), "a long, b long").distinct()
 
 
 def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -413,7 +413,7 @@ def similar_links(docs: DataFrame, members: DataFrame, similarity: float, shingl
     keyed = found.select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "text")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = keyed.repartition(width, "key").sortWithinPartitions("key")
-    return runs.mapInArrow(lambda it: _similar_batches(it, similarity, shingle), "a long, b long").distinct()
+    return runs.mapInArrow(lambda it: returned_after(_similar_batches(it, similarity, shingle)), "a long, b long").distinct()
 
 
 def near_duplicates(
