@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
-that is unset (tests, notebooks) does the library make one of its own.
+that is unset and the master is local (tests, notebooks) does the library make one of
+its own; a cluster without it is an error, as executors share no other folder.
 """
 
 from __future__ import annotations
@@ -13,13 +14,24 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+#: Frees a query's shuffle files as soon as it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Written tables by session, oldest first.
+_made: dict[str, list[str]] = {}
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    return _made.setdefault(spark._jsparkSession.sessionUUID(), [])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a fresh local one where the session names none."""
+    """The shared folder; a fresh local one where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir names no folder, and executors of {master} share no local one")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -33,20 +45,33 @@ def written(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     every later reader sees the same rows.  The table's size is known, so the
     optimizer can decide on broadcasts by it.  ``keep`` spares it from ``scratch``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     if not keep:
-        _made.append(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+        _tables(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def forgotten(table: DataFrame) -> None:
     """Deletes a table that ``written`` returned and that no later step reads."""
-    dropped(table.sparkSession, table._tessera_path)
-    if table._tessera_path in _made:
-        _made.remove(table._tessera_path)
+    spark = table.sparkSession
+    dropped(spark, table._tessera_path)
+    if table._tessera_path in _tables(spark):
+        _tables(spark).remove(table._tessera_path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -61,10 +86,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     What is still to be computed from them must be written with ``keep`` before.
     """
-    first = len(_made)
+    made = _tables(spark)
+    before = set(made)
     try:
         yield
     finally:
-        for path in _made[first:]:
+        for path in [p for p in made if p not in before]:
             dropped(spark, path)
-        del _made[first:]
+            made.remove(path)

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
+from tessera.operators import graph
 from tessera.plans import catalogue
+from tessera.sources import shared
 
 
 def test_components_of_all_line_items_have_many_hops(spark, sf):
@@ -20,3 +26,57 @@ def test_components_of_all_line_items_have_many_hops(spark, sf):
     got = {r.node: r.component for r in catalogue.QUERIES["components_whole"](spark, sf).collect()}
     assert got == {k: root(k) for k in parent}
     assert max(k - c for k, c in got.items()) > 7 * 10
+
+
+def _components(edges):
+    parent = {k: k for e in edges for k in e if None not in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u is not None and v is not None and u != v:
+            low, high = sorted((root(u), root(v)))
+            parent[high] = low
+    return {k: root(k) for e in edges if None not in e and e[0] != e[1] for k in e}
+
+
+def test_hubs_chains_and_repeats_with_and_without_hub_joins(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1150)] + [(5000 - k, 5001 - k) for k in range(120)]
+    edges += [(rng.randrange(6000, 6500), rng.randrange(6000, 6500)) for _ in range(300)] + [(7, 7), (None, 3), (0, 1), (1, 0)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    for most in (graph.HUB_EDGES, 10):
+        monkeypatch.setattr(graph, "HUB_EDGES", most)
+        got = {r.node: r.component for r in graph.connected_components(table, "a", "b").collect()}
+        assert got == _components(edges)
+    with pytest.raises(RuntimeError):
+        graph.connected_components(table, "a", "b", max_rounds=1)
+    assert graph.connected_components(table.limit(0), "a", "b").count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+
+
+def test_scratch_deletes_what_is_not_kept_and_settings_stay(spark):
+    before = spark.conf.get(shared.CLEANUP, None)
+    with shared.scratch(spark):
+        kept, gone = shared.written(spark.range(3).toDF("id"), "kept", keep=True), shared.written(spark.range(3).toDF("id"), "gone")
+        gone.count()
+    assert kept.count() == 3 and spark.conf.get(shared.CLEANUP, None) == before
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._tessera_path).count()
+    shared.forgotten(kept)
