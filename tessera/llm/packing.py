@@ -32,9 +32,10 @@ from tessera.sources.shared import written
 WINDOW = 4096
 OPEN_WINDOWS = 48
 MERGED_PARTITIONS = 16
-CACHED_WORDS = 300_000
-TABLE_SLOTS = 1 << 20
-POOL_IDS = 12 << 20
+CACHED_WORDS = 60_000
+TABLE_SLOTS = 1 << 19
+POOL_IDS = 6 << 20
+POOL_BYTES = 12 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TOKENIZED_BYTES = 1 << 20
 
@@ -48,7 +49,8 @@ class WordTokenizer:
     The vocabulary's normalizer and pre-tokenizer act within runs of non-space
     characters, so ids of a text are the ids of its runs one after another.  Runs
     are found and hashed (64 bits) as arrays and looked up in a two-way table of
-    fixed size; only runs not in it become strings.  Those are kept in two
+    fixed size; what is found counts only if its bytes are the run's, as different
+    runs may share a hash.  Only other runs become strings.  Those are kept in two
     generations of bounded size.  A run of Latin letters with trailing punctuation
     is two words, each with ids of its own; unknown letter runs are encoded together
     and their ids told apart by the tokens that end a word.  All other runs are
@@ -73,10 +75,13 @@ class WordTokenizer:
         self.keys = np.zeros((2, TABLE_SLOTS), np.uint64)
         self.at = np.zeros((2, TABLE_SLOTS), np.int32)
         self.count = np.zeros((2, TABLE_SLOTS), np.int32)
+        self.bytes_at = np.zeros((2, TABLE_SLOTS), np.int32)
+        self.bytes_count = np.zeros((2, TABLE_SLOTS), np.int32)
         self.pool, self.used = np.zeros(POOL_IDS, "<u4"), 0
+        self.letters, self.used_bytes = np.zeros(POOL_BYTES, np.uint8), 0
 
-    def _runs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and hash of every run of non-space bytes within a text."""
+    def _runs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of every run of non-space bytes within a text, and the runs' bytes one after another."""
         word = ~((data == 32) | ((data >= 9) & (data <= 13)))
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
@@ -97,48 +102,70 @@ class WordTokenizer:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        return start, end, h | np.uint64(1)
+        return start, end, h | np.uint64(1), data[word]
 
-    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Found or not, place and number of ids, place and number of bytes."""
         slot = (h >> np.uint64(20)).astype(np.int64) & (TABLE_SLOTS - 1)
         way = (self.keys[1][slot] == h).astype(np.int64)
-        return self.keys[way, slot] == h, self.at[way, slot], self.count[way, slot]
+        return self.keys[way, slot] == h, *(x[way, slot] for x in (self.at, self.count, self.bytes_at, self.bytes_count))
+
+    def _others(self, own: np.ndarray, size: np.ndarray, bytes_at: np.ndarray, bytes_count: np.ndarray) -> np.ndarray:
+        """Indexes of runs whose bytes are not those of the entry with their hash."""
+        stop = np.cumsum(size, dtype=np.int32)
+        place = np.repeat(bytes_at - (stop - size).astype(np.int32), size)
+        place += np.arange(len(own), dtype=np.int32)
+        np.minimum(place, POOL_BYTES - 1, out=place)
+        wrong = np.flatnonzero(self.letters[place] != own)
+        return np.unique(np.r_[np.searchsorted(stop, wrong, "right"), np.flatnonzero(size != bytes_count)])
 
     def packed(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, one after another, and n+1 offsets into them."""
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {}, self.known
-        start, end, h = self._runs(data, off)
-        hit, at, count = self._look_up(h)
+        start, end, h, own = self._runs(data, off)
+        hit, at, count, bytes_at, bytes_count = self._look_up(h)
         miss = np.flatnonzero(~hit)
-        pool = self.pool
+        pool, raw = self.pool, data.tobytes()
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
-            raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(start[miss[first]].tolist(), end[miss[first]].tolist(), strict=True)]
-            self._learn(set(words))
-            ids = [self.known[w] for w in words]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            fresh = np.frombuffer(b"".join(ids), "<u4")
-            if self.used + len(fresh) > POOL_IDS:
+            starts, ends = start[miss[first]], end[miss[first]]
+            words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids, size = self._ids_of(words)
+            fresh, letters = np.frombuffer(b"".join(ids), "<u4"), np.frombuffer("".join(words).encode(), np.uint8)
+            if self.used + len(fresh) > POOL_IDS or self.used_bytes + len(letters) > POOL_BYTES:
                 self._clear()
-                hit[:] = False
-                if len(new) != len(np.unique(h)) or len(fresh) > POOL_IDS:
+                if len(new) != len(np.unique(h)) or len(fresh) > POOL_IDS or len(letters) > POOL_BYTES:
                     return self._plain(data, off)
-            pool, base = self.pool, self.used
-            pool[base : base + len(fresh)] = fresh
-            self.used += len(fresh)
-            place = base + np.cumsum(size) - size
+            pool = self.pool
+            pool[self.used : self.used + len(fresh)] = fresh
+            self.letters[self.used_bytes : self.used_bytes + len(letters)] = letters
             slot = (new >> np.uint64(20)).astype(np.int64) & (TABLE_SLOTS - 1)
             way = (self.keys[0][slot] != 0).astype(np.int64)
-            self.keys[way, slot], self.at[way, slot], self.count[way, slot] = new, place, size
             which = np.searchsorted(new, h[miss])
-            at[miss], count[miss] = place[which], size[which]
+            length = ends - starts
+            entries = (self.used + np.cumsum(size) - size, size, self.used_bytes + np.cumsum(length) - length, length)
+            self.keys[way, slot] = new
+            for table, found, value in zip((self.at, self.count, self.bytes_at, self.bytes_count), (at, count, bytes_at, bytes_count), entries, strict=True):
+                table[way, slot] = value
+                found[miss] = value[which]
+            self.used, self.used_bytes = self.used + len(fresh), self.used_bytes + len(letters)
+        other = self._others(own, end - start, bytes_at, bytes_count)
+        if len(other):
+            ids, size = self._ids_of([raw[a:b].decode() for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)])
+            pool = np.concatenate([pool[: self.used], np.frombuffer(b"".join(ids), "<u4")])
+            at[other], count[other] = self.used + np.cumsum(size) - size, size
         total = np.cumsum(count) if len(count) else np.zeros(0, np.int64)
         ids = pool[np.repeat(at - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
         stops = np.r_[0, total][np.searchsorted(start, off)]
         return ids, stops
 
+    def _ids_of(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each word, and their numbers."""
+        self._learn(set(words))
+        ids = [self.known[w] for w in words]
+        return ids, np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
     def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same, text by text, for the chunk that finds the pool full."""
         raw, off = data.tobytes(), off.tolist()

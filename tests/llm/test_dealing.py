@@ -179,6 +179,7 @@ def test_word_tokenizer_small_table_and_odd_runs(spark, monkeypatch):
 
     monkeypatch.setattr(packing, "TABLE_SLOTS", 64)
     monkeypatch.setattr(packing, "POOL_IDS", 300)
+    monkeypatch.setattr(packing, "POOL_BYTES", 900)
     monkeypatch.setattr(packing, "CACHED_WORDS", 50)
     t = packing.WordTokenizer(queries.tokenizer_path())
     rng = np.random.default_rng(3)
@@ -191,3 +192,25 @@ def test_word_tokenizer_small_table_and_odd_runs(spark, monkeypatch):
             for k in range(len(off) - 1):
                 want = t.tokenizer.encode(raw[off[k] : off[k + 1]].decode(), add_special_tokens=False).ids
                 assert ids[stops[k] : stops[k + 1]].tolist() == want
+
+
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_runs_that_share_a_hash_get_their_own_ids(spark):
+    """A Thue-Morse word and its complement collide under any polynomial modulo 2^64, new and known ones alike."""
+    one = thue_morse(11)
+    two = one.translate(str.maketrans("ab", "ba"))
+    t = packing.WordTokenizer(queries.tokenizer_path())
+    for texts in ([one, two, "x " + one], [two, one + " y", two], [f"{two} {one} {two}"]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.cumsum([0, *map(len, texts)])
+        start, _, h, _ = t._runs(data, off)
+        assert len(set(h.tolist())) < len({x for text in texts for x in text.split()})
+        ids, stops = t.packed(data, off)
+        for k, text in enumerate(texts):
+            assert ids[stops[k] : stops[k + 1]].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
