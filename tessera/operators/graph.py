@@ -5,33 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import joins
+from tessera.operators.joins import join_with_hot_keys
 from tessera.sources.shared import forgotten, written
 
-#: Up to so many edges no node is treated as a hub; above, a hub has that share of all edge ends or more.
-HUB_EDGES = 100_000
-HUB_SHARE = 1 / 1000
-
-
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
 
 
 def _with_minimum(edges: DataFrame, floor: bool, n: int) -> DataFrame:
-    """``edges`` (u, v) with ``m``, the smallest v of their u (with ``floor``, u itself counts too).
-
-    Edges of hubs get theirs by a broadcast: hubs hold a thousandth of all edge ends
-    each, so there are a thousand at most, and no task sees all edges of one.
-    """
+    """``edges`` (u, v) with ``m``, the smallest v of their u (with ``floor``, u itself counts too)."""
     least = F.least(F.min("v"), F.min("u")) if floor else F.min("v")
     low = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("degree"))
-    if n <= HUB_EDGES:
-        return edges.join(low.drop("degree"), "u")
-    low = written(low, "minima")
-    limit = max(HUB_EDGES * HUB_SHARE, 2 * n * HUB_SHARE)
-    hubs = F.broadcast(low.filter(F.col("degree") >= limit).drop("degree"))
-    others = low.filter(F.col("degree") < limit).drop("degree")
-    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(others, "u"))
+    return join_with_hot_keys(edges, written(low, "minima") if n > joins.MANY_ROWS else low, ["u"], "degree", n)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
@@ -40,8 +27,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     Large-star links a node's larger neighbours to its smallest one, small-star
     links its smaller neighbours to the smallest; in a few rounds every component
     is a star.  A round is two aggregations and two equality joins over the edge
-    table, written to the shared folder, so lineage does not grow; the edges of hubs
-    are joined by broadcast.  Loops and null ends are ignored.  The rounds follow the
+    table, written to the shared folder, so lineage does not grow; the edges of hubs stay
+    where they are and no task sees all of them.  Loops and null ends are ignored.  The rounds follow the
     logarithm of the longest path; RuntimeError if ``max_rounds`` do not settle it.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v AND v IS NOT NULL").distinct()
@@ -49,8 +36,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     seen = _fingerprint(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both, True, seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star") if seen[0] > HUB_EDGES else large
+        large = _with_minimum(both, True, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large-star") if seen[0] > joins.MANY_ROWS else large
         small = _with_minimum(large, False, seen[0])
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         before, e = e, written(small.filter("u > v").distinct(), "edges")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, joins
 from tessera.plans import catalogue
 from tessera.sources import shared
 
@@ -48,8 +49,9 @@ def test_hubs_chains_and_repeats_with_and_without_hub_joins(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1150)] + [(5000 - k, 5001 - k) for k in range(120)]
     edges += [(rng.randrange(6000, 6500), rng.randrange(6000, 6500)) for _ in range(300)] + [(7, 7), (None, 3), (0, 1), (1, 0)]
     table = spark.createDataFrame(edges, "a long, b long")
-    for most in (graph.HUB_EDGES, 10):
-        monkeypatch.setattr(graph, "HUB_EDGES", most)
+    for most in (joins.MANY_ROWS, 10):
+        monkeypatch.setattr(joins, "MANY_ROWS", most)
+        monkeypatch.setattr(joins, "HOT_KEYS", 20)
         got = {r.node: r.component for r in graph.connected_components(table, "a", "b").collect()}
         assert got == _components(edges)
     with pytest.raises(RuntimeError):
@@ -80,3 +82,14 @@ def test_scratch_deletes_what_is_not_kept_and_settings_stay(spark):
     with pytest.raises(Exception):
         spark.read.parquet(gone._tessera_path).count()
     shared.forgotten(kept)
+
+
+def test_join_with_hot_keys_equals_a_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MANY_ROWS", 0)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(200)] + [(None, -1)], "k int, x int")
+    table = rows.filter("k IS NOT NULL AND k <> 3").groupBy("k").count().withColumnRenamed("count", "n").withColumn("y", F.col("k") * 10)
+    for keys in (1, 5, 1000):
+        monkeypatch.setattr(joins, "HOT_KEYS", keys)
+        got = joins.join_with_hot_keys(rows, table, ["k"], "n", 201)
+        assert got.columns == ["k", "x", "y"]
+        assert sorted(map(tuple, got.collect())) == sorted((k, x, 10 * k) for k, x in map(tuple, rows.collect()) if k not in (None, 3))
