@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import flac, html_text, language, mixing, packing, phrases, quality, repeats, sharding, simhash
 
+#: The shortest run of words that counts as a repeated passage: more than 50.
+REPEATED_WORDS = 51
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,8 +50,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal by strings of 400 bytes; ``n_word_runs`` and ``n_run_words`` report repeated runs of over 50 words beside it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repeats.removed_repeats(docs, texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeats.removed_repeats(docs, texts=False, run_words=REPEATED_WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_word_runs", "n_run_words")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,15 +100,21 @@ placed AS (SELECT keyed.*, coalesce(sum(size) OVER (PARTITION BY k ORDER BY rnd,
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (quota // blocks) + greatest(0, least(off + size, (quota % blocks) * len) - off) END AS BIGINT) AS taken
 FROM placed JOIN z USING (k)"""
 
-#: Every 400-byte string of every text, on the bytes as hexadecimal digits.
-OP8_SQL = """WITH n AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n FROM documents),
+#: Every 400-byte string of every text, on the bytes as hexadecimal digits; and every run of 51 words.
+OP8_SQL = r"""WITH n AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, greatest(n - 399, 0))) AS i FROM n)),
 s AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
 g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
 sp AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS sid FROM g),
 runs AS (SELECT r, sid, min(i) AS a, max(i) + 400 AS b FROM sp GROUP BY 1, 2),
 k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY sid), 0) AS before FROM runs),
-seg AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY sid) AS kept, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM k JOIN n USING (r) GROUP BY 1)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM n LEFT JOIN seg USING (r)"""
+seg AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY sid) AS kept, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM k JOIN n USING (r) GROUP BY 1),
+pw AS (SELECT r, i, md5(array_to_string(words[i:i + 50], ' ')) AS k FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 49, 1))) AS i FROM n)),
+ps AS (SELECT r, i FROM pw SEMI JOIN (SELECT k FROM pw GROUP BY k HAVING count(*) > 1) USING (k)),
+pg AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 51 THEN 0 ELSE 1 END AS new FROM ps),
+pp AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS sid FROM pg),
+pr AS (SELECT r, count(*) AS word_runs, sum(size) AS run_words FROM (SELECT r, sid, max(i) + 51 - min(i) AS size FROM pp GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256,
+  CAST(coalesce(word_runs, 0) AS BIGINT) AS n_word_runs, CAST(coalesce(run_words, 0) AS BIGINT) AS n_run_words FROM n LEFT JOIN seg USING (r) LEFT JOIN pr USING (r)"""
 
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op8_repeats": OP8_SQL}

@@ -22,6 +22,8 @@ map-side combination and no class has to fit into a task.
 Runs of words instead of bytes go the same way: ``removed_word_runs`` writes a text as
 four bytes of hash per word, so that a run of n words is a string of 4 n bytes
 whatever its words' lengths, and cuts the words that the strings found cover.
+``removed_repeats`` can count such runs beside its strings: passages of n words may be
+shorter than ``length`` bytes.
 
 Matches never cross documents.  Null text is empty, repeated rows count as
 repetitions, texts shorter than ``length`` keep everything, an empty table gives no
@@ -38,9 +40,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh32_digest
 
 from tessera.llm.arrow import chunks, returned_after
+from tessera.operators.joins import join_with_hot_keys
 from tessera.sources.shared import forgotten, written
 
 LENGTH = 400
@@ -55,6 +59,7 @@ BASE = 0x9E3779B97F4A7C15
 WORD = re.compile(rb"\S+")
 CODE = 4
 WORD_GRAM = 8
+OUTPUTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_word_runs", "n_run_words"]
 
 
 class _Powers:
@@ -187,42 +192,48 @@ def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["doc_id", "text_hash", "text"])
 
 
-def _spans_of_words(data: bytes, starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
-    """Byte spans of the whole words in spans of codes."""
-    words = [m.span() for m in WORD.finditer(data)]
-    whole = [(-(-i // CODE), j // CODE) for i, j in zip(starts, ends, strict=True)]
-    return [words[i][0] for i, j in whole if i < j], [words[j - 1][1] for i, j in whole if i < j]
+def _spans_of_words(data: bytes, runs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Byte spans of runs of words."""
+    words = [m.span() for m in WORD.finditer(data)] if runs else []
+    return [words[i][0] for i, _ in runs], [words[j - 1][1] for _, j in runs]
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool, words: bool) -> Iterator[pa.RecordBatch]:
-    """Applies marked strings: what is kept of each text, and how much went."""
+def _merged(start: list[int] | None, count: list[int] | None, length: int) -> tuple[list[int], list[int]]:
+    """Maximal spans covered by runs of ``count`` strings from ``start`` on."""
+    if not start:
+        return [], []
+    s = np.array(start)
+    order = np.argsort(s, kind="stable")
+    s = s[order]
+    e = np.maximum.accumulate(s + np.array(count)[order] - 1 + length)
+    head = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
+    return s[head].tolist(), e[np.r_[head[1:], len(s)] - 1].tolist()
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, runs: int | None, texts: bool, cut_words: bool) -> Iterator[pa.RecordBatch]:
+    """Applies marked strings: what is kept of each text, how much went, and how many words are in repeated runs."""
     for batch in batches:
         out = []
-        marks = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        for text, (start, count) in zip(batch.column(0), marks, strict=True):
+        marks = zip(*[batch.column(k).to_pylist() for k in range(1, 5)], strict=True)
+        for text, (start, count, word_start, word_count) in zip(batch.column(0), marks, strict=True):
             data = (text.as_py() or "").encode()
-            kept, spans = [], 0
-            at = 0
-            if start:
-                s = np.array(start)
-                order = np.argsort(s, kind="stable")
-                s = s[order]
-                e = np.maximum.accumulate(s + np.array(count)[order] - 1 + length)
-                head = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-                ends = e[np.r_[head[1:], len(s)] - 1]
-                starts, ends = s[head].tolist(), ends.tolist()
-                if words:
-                    starts, ends = _spans_of_words(data, starts, ends)
-                for i, j in zip(starts, ends, strict=True):
-                    kept.append(data[at:i])
-                    at, spans = j, spans + 1
+            starts, ends = _merged(start, count, length)
+            of, to = _merged(word_start, word_count, (runs or 0) * CODE)
+            words = [(-(-i // CODE), j // CODE) for i, j in zip(of, to, strict=True)]
+            words = [(i, j) for i, j in words if i < j]
+            if cut_words:
+                starts, ends = _spans_of_words(data, words)
+            kept, at = [], 0
+            for i, j in zip(starts, ends, strict=True):
+                kept.append(data[at:i])
+                at = j
             kept.append(data[at:])
             left = b"".join(kept)
-            out.append((len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if texts else None))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            out.append((len(data), len(data) - len(left), len(starts), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if texts else None, len(words), sum(j - i for i, j in words)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-        rest = [batch.column(i) for i in range(3, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*cols, *rest], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[3:]])
+        rest = [batch.column(i) for i in range(5, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([*cols, *rest], names=[*OUTPUTS, *batch.schema.names[5:]])
 
 
 def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -236,10 +247,13 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     place = F.xxhash64("doc_id", "text_hash", "at")  # one occurrence, the least by hash, stands for its phrase
     first = F.min(place)
     dictionary = written(parse.groupBy(*phrase).agg(F.count("*").alias("n"), first.alias("first")), "dictionary")
-    shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases"), F.sum("n").alias("all")).filter("all > 1").select("trigger", "phrases")
-    open_phrases = dictionary.join(shared, "trigger").filter("n > 1 OR phrases > 1")
-    seen = written(parse.join(open_phrases, phrase).select("doc_id", "text_hash", "at", "d_low", "d_high", "n", "phrases", (place == F.col("first")).alias("is_first")), "open-phrases")
-    for table in (parse, dictionary):
+    shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases"), F.sum("n").alias("all")).filter("all > 1").select("trigger", "phrases", F.col("phrases").alias("rows"))
+    shared = written(shared, "shared-triggers")
+    open_phrases = join_with_hot_keys(dictionary, shared, ["trigger"], "rows", dictionary.count()).filter("n > 1 OR phrases > 1")
+    open_phrases = written(open_phrases.withColumn("rows", F.col("n")), "open-phrases")
+    opened = join_with_hot_keys(parse, open_phrases, phrase, "rows", parse.count())
+    seen = written(opened.select("doc_id", "text_hash", "at", "d_low", "d_high", "n", "phrases", (place == F.col("first")).alias("is_first")), "opened")
+    for table in (parse, dictionary, shared, open_phrases):
         forgotten(table)
     settled = seen.filter("n > 1").select("doc_id", "text_hash", (F.col("at") - F.col("d_high")).alias("start"), (F.col("d_high") - F.col("d_low") + 1).alias("count"))
 
@@ -252,9 +266,9 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     to_cut = texts.join(asked, both).select(texts["doc_id"], texts["text_hash"], texts["text"], "phrases")
     blocks = written(to_cut.mapInArrow(lambda it: returned_after(_block_batches(it, length)), BLOCKS), "blocks")
     core, block = ["k1", "k2"], ["k1", "k2", "sides"]
-    classes = blocks.groupBy(*block).agg(F.sum("weight").alias("weight"))
-    cores = classes.groupBy(*core).agg(F.sum("weight").alias("all"), F.count("*").alias("classes")).filter("all > 1").select(*core, "classes")
-    classes = written(classes.join(cores, core), "block-classes")
+    classes = written(blocks.groupBy(*block).agg(F.sum("weight").alias("weight")), "block-classes")
+    cores = classes.groupBy(*core).agg(F.sum("weight").alias("all"), F.count("*").alias("classes")).filter("all > 1").select(*core, "classes", F.col("classes").alias("rows"))
+    classes = written(join_with_hot_keys(classes, written(cores, "block-cores"), core, "rows", classes.count()), "shared-classes")
     low, high = (F.conv(F.hex(F.substring("sides", i, 1)), 16, 10).cast("int") for i in (1, 2))
     whole = classes.filter("weight > 1").select(*block, F.explode(F.sequence(low, high)).alias("j"))
 
@@ -274,36 +288,43 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
-    """``docs`` without texts, with n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = True, run_words: int | None = None) -> DataFrame:
+    """``docs`` without texts, with n_bytes, n_removed, n_spans, kept_sha256, kept_text, n_word_runs and n_run_words.
 
     Counts and digest are of bytes; ``kept_text`` leaves out characters that lost
-    some of their bytes only, and is null unless ``texts`` are asked for.
+    some of their bytes only, and is null unless ``texts`` are asked for.  With
+    ``run_words`` the last two count, without removing them, the maximal runs of words
+    that are covered by runs of so many words met twice, and the words in them; they
+    are 0 without it.
     Ids need not be unique: texts are told apart by id and hash.  Input columns named
     as an output are replaced; names that start with ``__tessera`` are reserved.
     """
-    return _removed(docs, id_col, text_col, length, gram, texts, False)
+    return _removed(docs, id_col, text_col, length, gram, run_words, texts, False)
 
 
 def removed_word_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int, texts: bool = True) -> DataFrame:
     """As ``removed_repeats``, for every run of ``words`` words that also starts anywhere else; the white space inside goes with them."""
-    return _removed(docs, id_col, text_col, words * CODE, min(words, WORD_GRAM) * CODE, texts, True)
+    return _removed(docs, id_col, text_col, None, GRAM, words, texts, True)
 
 
-def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, texts: bool, words: bool) -> DataFrame:
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+def _removed(docs: DataFrame, id_col: str, text_col: str, length: int | None, gram: int, run_words: int | None, texts: bool, cut_words: bool) -> DataFrame:
+    docs = docs.drop(*OUTPUTS)
     keyed = docs.withColumns({"__tessera_id": F.col(id_col).cast("long"), "__tessera_hash": text_key(F.col(text_col)), "__tessera_text": F.col(text_col).cast("string")})
     long = keyed.select(F.col("__tessera_id").alias("doc_id"), F.col("__tessera_hash").alias("text_hash"), F.col("__tessera_text").alias("text"))
-    if words:
-        long = long.mapInArrow(lambda it: returned_after(_code_batches(it)), "doc_id long, text_hash long, text binary")
-    long = long.filter(F.octet_length("text") >= length)
-    marks = repeated_strings(long, length, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("m"))
-    marks = marks.select(F.col("doc_id").alias("__tessera_doc"), F.col("text_hash").alias("__tessera_key"), F.col("m.start").alias("__tessera_start"), F.col("m.count").alias("__tessera_count"))
+    found = []
+    if length:
+        found.append(repeated_strings(long.filter(F.octet_length("text") >= length), length, gram).withColumn("words", F.lit(False)))
+    if run_words:
+        codes = long.mapInArrow(lambda it: returned_after(_code_batches(it)), "doc_id long, text_hash long, text binary").filter(F.octet_length("text") >= run_words * CODE)
+        found.append(repeated_strings(codes, run_words * CODE, min(run_words, WORD_GRAM) * CODE).withColumn("words", F.lit(True)))
+    found = [written(f, "marks") for f in found]
+    marks = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    lists = [F.collect_list(F.when(F.col("words") == w, F.struct("start", "count"))).alias(k) for w, k in ((False, "bytes"), (True, "codes"))]
+    marks = marks.groupBy(F.col("doc_id").alias("__tessera_doc"), F.col("text_hash").alias("__tessera_key")).agg(*lists)
     joined = keyed.join(marks, keyed["__tessera_id"].eqNullSafe(marks["__tessera_doc"]) & (keyed["__tessera_hash"] == marks["__tessera_key"]), "left")
     rest = [c for c in docs.columns if c != text_col]
-    rows = joined.select("__tessera_text", "__tessera_start", "__tessera_count", *rest)
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    places = [F.col(f"{k}.{part}").alias(f"__tessera_{k}_{part}") for k in ("bytes", "codes") for part in ("start", "count")]
+    rows = joined.select("__tessera_text", *places, *rest)
+    schema = ", ".join(f"{c} {'string' if c.startswith('kept') else 'long'}" for c in OUTPUTS)
     fields = [f for f in rows.schema.fields if f.name in rest]
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(lambda it: returned_after(_cut_batches(it, length, texts, words)), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))
+    return rows.mapInArrow(lambda it: returned_after(_cut_batches(it, length or 0, run_words, texts, cut_words)), T.StructType([*T._parse_datatype_string(schema).fields, *fields]))

@@ -129,3 +129,34 @@ def test_every_string_has_one_trigger_by_content(tail):
     by = {}
     for s in strings:
         assert by.setdefault(data[s : s + 30].tobytes(), owner[s]) == owner[s]
+
+
+def plain_runs(texts, n):
+    """[(runs, words in them)] of the words covered by runs of n words met twice."""
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        inside = bytearray(len(w))
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                inside[i : i + n] = b"\1" * n
+        out.append((sum(1 for i, g in enumerate(inside) if g and not (i and inside[i - 1])), sum(inside)))
+    return out
+
+
+def test_query_reports_passages_of_over_50_words(spark, sf):
+    from tessera.llm.queries import op8_repeats
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: (r.n_word_runs, r.n_run_words) for r in op8_repeats(spark, sf).collect()}
+    assert got == dict(zip([r.doc_id for r in docs], plain_runs([r.text for r in docs], 51), strict=True)) and any(a for a, _ in got.values())
+
+
+def test_hot_phrases_are_joined_by_broadcast_with_the_same_result(spark, monkeypatch):
+    from tessera.operators import joins
+
+    monkeypatch.setattr(joins, "MANY_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_KEYS", 8)
+    rows = [(d, f"{d} " * 30 + "the same line of text again and again " * 3 + "q" * (d % 3)) for d in range(60)]
+    check(spark, rows, length=40, gram=12)
