@@ -4,10 +4,13 @@ Texts get a 64-bit SimHash over word shingles.  Two fingerprints within ``radius
 differing bits agree, in at least one part of a partition of the 64 bits, up to
 that part's own threshold, whenever the thresholds sum to radius - parts + 1.
 Correlated bits share a part, and a dynamic program gives each part the threshold
-that makes the estimated work least.  Every fingerprint is filed once per part and
-probes that part's buckets within its threshold; members of a bucket are verified
+that makes the estimated work least; the number of parts is the one whose plan costs
+least for the number of fingerprints at hand.  Every fingerprint is filed once per part
+and probes that part's buckets within its threshold; members of a bucket are verified
 bit by bit, and what leaves a bucket is each of its components as a star around its
-smallest node, which is mostly the same star from bucket to bucket.
+smallest node, which is mostly the same star from bucket to bucket.  A bucket with many
+filed fingerprints is dealt to several tasks, each with some of these and all of its
+rows, which pass by in batches.
 
 Equal fingerprints are one node from the start, so exact copies cost nothing here.
 
@@ -35,18 +38,28 @@ from xxhash import xxh64_digest
 
 from tessera.llm.arrow import returned_after, text_parts
 from tessera.operators.graph import connected_components
+from tessera.operators.joins import join_with_hot_keys
 from tessera.sources.shared import written
 
 BITS = 64
 RADIUS = 4
-PARTS = 3
+#: Numbers of parts to choose from, and the work of a probe in comparisons of two fingerprints.
+PARTS = range(2, 13)
+PROBE_WORK = 100
 SHINGLE = 4
 SEED = 42
 PAIRS_AT_ONCE = 1 << 20
 SMALL_BUCKET = 64
 STARS_AT_ONCE = 1 << 18
-#: Texts of a proposed group that one task compares; larger groups go to a task per pair of blocks.
+#: Filed fingerprints of a bucket, or texts of a proposed group, that one task compares with the others.
 BLOCK_NODES = 4096
+#: Shingles of a proposed group's texts that one task compares; larger groups go to a task per pair of blocks.
+BLOCK_SHINGLES = 1 << 20
+#: Rows of a bucket that are held at once.
+HELD_ROWS = 1 << 16
+
+#: Columns of a fingerprint that describe the text's set of shingles.
+SETS = ["shingles", "set_size", "text_hash"]
 
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -106,28 +119,30 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, words:
     for batch in batches:
         data, off = text_parts(batch.column(1))
         raw = data.tobytes()
-        found, names = [], []
+        found, names, sizes = [], [], []
         for i, j in itertools.pairwise(off.tolist()):
             hashes = shingle_hashes(raw[i:j], shingle)
             found.append(_words_of(hashes, words))
             if sets:
-                names.append(xxh64_digest(shingle_set(hashes).tobytes(), SEED))
+                own = shingle_set(hashes)
+                names.append(xxh64_digest(own.tobytes(), SEED))
+                sizes.append(len(own))
         out = np.array(found, np.uint64).reshape(-1, words)
         cols = [pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(words)]
         if sets:
-            cols += [pa.array(np.frombuffer(b"".join(names), np.int64)), batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_columns(words), *(["shingles", "text_hash"] if sets else [])])
+            cols += [pa.array(np.frombuffer(b"".join(names), np.int64)), pa.array(sizes, pa.int64()), batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *_columns(words), *(SETS if sets else [])])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1, sets: bool = False) -> DataFrame:
     """(doc_id, fp...): the fingerprints of every whole text as signed longs.
 
-    With ``sets`` also ``shingles``, a hash of the text's set of shingles, and ``text_hash``.
+    With ``sets`` also ``shingles``, a hash of the text's set of shingles, ``set_size``, and ``text_hash``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if sets:
         rows = rows.withColumn("text_hash", _text_hash("text"))
-    schema = ", ".join(f"{c} long" for c in ["doc_id", *_columns(words), *(["shingles", "text_hash"] if sets else [])])
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *_columns(words), *(SETS if sets else [])])
     return rows.mapInArrow(lambda it: returned_after(_fingerprint_batches(it, shingle, words, sets)), schema)
 
 
@@ -188,14 +203,14 @@ def _within(parts_bits: list[int], p: np.ndarray) -> np.ndarray:
     return np.cumsum(dist)
 
 
-def allocate(groups: list[list[int]], both: np.ndarray, n: int, radius: int) -> list[int]:
-    """Thresholds (-1: part unused) summing to radius - parts + 1 with the least estimated work."""
+def allocate(groups: list[list[int]], both: np.ndarray, n: int, radius: int) -> tuple[float, list[int]]:
+    """Estimated work, and thresholds (-1: part unused) that sum to radius - parts + 1 with the least of it."""
     p = both.diagonal() / max(n, 1)
     cost = []
     for g in groups:
         within = _within(g, p)
         probes = np.cumsum([comb(len(g), t) for t in range(radius + 1)])
-        cost.append([0.0] + [n * float(probes[t]) + n * n / 2 * float(within[min(t, len(g))]) for t in range(radius + 1)])
+        cost.append([0.0] + [PROBE_WORK * n * float(probes[t]) + n * n / 2 * float(within[min(t, len(g))]) for t in range(radius + 1)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in cost:
         nxt: dict[int, tuple[float, list[int]]] = {}
@@ -205,7 +220,34 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, radius: int) ->
                 if used + take not in nxt or new < nxt[used + take]:
                     nxt[used + take] = new
         best = nxt
-    return best[radius + 1][1]
+    return best[radius + 1]
+
+
+def cheapest_plan(both: np.ndarray, n: int, radius: int, parts: int | None) -> tuple[list[list[int]], list[int]]:
+    """Groups of bits and their thresholds; without ``parts`` in the number that costs least."""
+    plans = []
+    for k in [parts] if parts else [k for k in PARTS if k <= radius + 1]:
+        groups = correlated_parts(both, n, k)
+        work, thresholds = allocate(groups, both, n, radius)
+        plans.append((work, k, groups, thresholds))
+    _, _, groups, thresholds = min(plans)
+    return groups, thresholds
+
+
+def _own_keys(fp: np.ndarray, k: int, bits: list[int]) -> np.ndarray:
+    """The bucket of part ``k`` in which each fingerprint is filed."""
+    own = np.full(len(fp), k << 56, np.uint64)
+    for at, b in enumerate(bits):
+        own |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(at)
+    return own
+
+
+def _filed_keys(batches: Iterator[pa.RecordBatch], groups: list[list[int]], thresholds: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column(0).to_numpy().view(np.uint64)
+        for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
+            if t >= 0:
+                yield pa.RecordBatch.from_arrays([pa.array(_own_keys(fp, k, bits).view(np.int64))], names=["key"])
 
 
 def _file_and_probe(batches: Iterator[pa.RecordBatch], groups: list[list[int]], thresholds: list[int]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +263,7 @@ def _file_and_probe(batches: Iterator[pa.RecordBatch], groups: list[list[int]],
             part = batch.slice(i, 4096)
             fp = part.column(1).to_numpy().view(np.uint64)
             for k, bits, flips in plans:
-                own = np.zeros(len(fp), np.uint64)
-                for at, b in enumerate(bits):
-                    own |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(at)
-                keys = (own[:, None] ^ flips[None, :]) | np.uint64(k << 56)
+                keys = _own_keys(fp, k, bits)[:, None] ^ flips[None, :]
                 filed = np.zeros(keys.shape, bool)
                 filed[:, 0] = True
                 rest = [pa.array(np.repeat(c.to_numpy(), len(flips))) for c in part.columns]
@@ -298,50 +337,106 @@ def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) ->
     return np.unique(np.column_stack([node[moved], label[moved]]), axis=0)
 
 
+class _LargeBucket:
+    """A bucket's filed fingerprints, with which its other rows are compared as they pass by."""
+
+    def __init__(self, columns: list[np.ndarray], radius: int, whole_radius: int | None):
+        _, filed, node, *fps = columns
+        self.node, self.fps = node[filed], [f[filed].view(np.uint64) for f in fps]
+        self.label = np.arange(len(self.node))
+        self.limits = radius, whole_radius
+        self.apart = True
+
+    def links(self, columns: list[np.ndarray]) -> np.ndarray:
+        """(node, a filed node near it) for the rows that have one."""
+        _, _, node, *fps = columns
+        m = len(self.node)
+        if not m or not len(node):
+            return np.zeros((0, 2), np.int64)
+        both = [np.r_[f, g.view(np.uint64)] for f, g in zip(self.fps, fps, strict=True)]
+        out = []
+        step = max(1, PAIRS_AT_ONCE // m)
+        for i in range(0, len(node), step):
+            rows = np.arange(m + i, m + min(i + step, len(node)))
+            near = _near(both, np.arange(m)[:, None], rows[None, :], *self.limits)
+            hit = np.flatnonzero(near.any(axis=0))
+            out.append(np.column_stack([node[rows[hit] - m], self.node[near[:, hit].argmax(axis=0)]]))
+            for k in hit[near[:, hit].sum(axis=0) > 1].tolist() if self.apart else ():
+                mine = np.unique(self.label[near[:, k]])
+                if len(mine) > 1:
+                    self.label[np.isin(self.label, mine)] = mine[0]
+            self.apart = bool(self.label.any())
+        return np.concatenate(out)
+
+    def own(self) -> np.ndarray:
+        return np.column_stack([self.node, self.node[self.label]])
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int, whole_radius: int | None) -> Iterator[pa.RecordBatch]:
     """Stars of the components of each bucket; a star that many buckets show goes out once per flush."""
     held: list[list[np.ndarray]] = []
+    large: _LargeBucket | None = None
+    large_key = None
     ready: list[np.ndarray] = []
 
     def flushed() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(ready), axis=0)
         ready.clear()
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        key = columns[0]
-        cut = int(np.searchsorted(key, key[-1]))
-        if held and held[-1][0][-1] != key[0] or cut:
-            done = [*held, [c[:cut] for c in columns]]
-            done = [np.concatenate(c) for c in zip(*done, strict=True)]
-            if len(done[0]):
-                ready.append(_verify(done, radius, whole_radius))
-            held = []
-        held.append([c[cut:] for c in columns])
+        if large is not None:
+            same = int(np.searchsorted(columns[0], large_key, "right"))
+            ready.append(large.links([c[:same] for c in columns]))
+            columns = [c[same:] for c in columns]
+            if len(columns[0]):
+                ready.append(large.own())
+                large = None
+        if len(columns[0]):
+            key = columns[0]
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and held[-1][0][-1] != key[0] or cut:
+                done = [*held, [c[:cut] for c in columns]]
+                done = [np.concatenate(c) for c in zip(*done, strict=True)]
+                if len(done[0]):
+                    ready.append(_verify(done, radius, whole_radius))
+                held = []
+            held.append([c[cut:] for c in columns])
+            if sum(len(c[0]) for c in held) > HELD_ROWS and not held[-1][1][-1]:  # filed rows come first
+                rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+                large, large_key, held = _LargeBucket(rows, radius, whole_radius), rows[0][0], []
+                ready.append(large.links(rows))
         if sum(map(len, ready)) > STARS_AT_ONCE:
             yield flushed()
+    if large is not None:
+        ready.append(large.own())
     if held:
         ready.append(_verify([np.concatenate(c) for c in zip(*held, strict=True)], radius, whole_radius))
     if ready:
         yield flushed()
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS, whole_radius: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None, whole_radius: int | None = None) -> DataFrame:
     """(a, b): links among nodes (node, fp...), by way of others, that leave their components whole.
 
     Nodes are linked when ``fp`` differs in at most ``radius`` bits and, if that is
     given, all fingerprints together in at most ``whole_radius``.
     """
     both = bit_statistics(nodes)
-    n = nodes.count()
-    groups = correlated_parts(both, n, parts)
-    thresholds = allocate(groups, both, n, radius)
+    groups, thresholds = cheapest_plan(both, nodes.count(), radius, parts)
+    filed = nodes.select("fp").mapInArrow(lambda it: _filed_keys(it, groups, thresholds), "key long")
+    heavy = written(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_NODES), "heavy-buckets")
     fps = [c for c in nodes.columns if c.startswith("fp")]
     schema = "key long, filed boolean, node long, " + ", ".join(f"{c} long" for c in fps)
     probes = nodes.select("node", *fps).mapInArrow(lambda it: returned_after(_file_and_probe(it, groups, thresholds)), schema)
+    if not heavy.isEmpty():
+        tasks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+        probes = probes.join(heavy.select("key", tasks.alias("tasks")), "key", "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
+        probes = probes.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+        mine = F.col("filed") & (F.pmod(F.xxhash64("node"), F.col("tasks")) == F.col("task"))
+        probes = probes.select(F.when(F.col("tasks") == 1, F.col("key")).otherwise(F.xxhash64("key", "task")).alias("key"), mine.alias("filed"), "node", *fps)
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = probes.repartition(width, "key").sortWithinPartitions("key", F.col("filed").desc())
     return dealt.mapInArrow(lambda it: returned_after(_verify_batches(it, radius, whole_radius)), "a long, b long").distinct()
@@ -399,13 +494,13 @@ def _similar_batches(batches: Iterator[pa.RecordBatch], similarity: float, shing
 
 
 def similar_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): links by exact similarity within the components of members (node, component, doc_id, text_hash).
+    """(a, b): links by exact similarity within the components of members (node, component, set_size, doc_id, text_hash).
 
-    A component above BLOCK_NODES nodes is dealt in blocks, each pair of blocks to a task.
+    A component above BLOCK_NODES nodes or BLOCK_SHINGLES shingles is dealt in blocks, each pair of blocks to a task.
     """
-    large = members.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_NODES)
-    large = large.select("component", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks"))
-    dealt = members.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("set_size") / BLOCK_SHINGLES)).cast("int")
+    large = written(members.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "large-groups")
+    dealt = members.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), _text_hash(text_col).alias("_hash"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(dealt, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
@@ -417,7 +512,7 @@ def similar_links(docs: DataFrame, members: DataFrame, similarity: float, shingl
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, words: int = 1, whole_radius: int | None = None, searched: int = 1, similarity: float | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, parts: int | None = None, words: int = 1, whole_radius: int | None = None, searched: int = 1, similarity: float | None = None
 ) -> DataFrame:
     """(doc_id, fp..., component_id): the smallest doc_id that a document reaches over links.
 
@@ -433,8 +528,8 @@ def near_duplicates(
     keys = [*fps, "shingles"] if exact else fps
     prints = written(fingerprints(docs, id_col, text_col, shingle, words, exact), "simhash")
     node = F.col("fp") if keys == ["fp"] else F.xxhash64(*keys)
-    sample = [F.min(F.struct("doc_id", "text_hash")).alias("sample")] if exact else []
-    nodes = written(prints.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), *sample).withColumn("node", node), "simhash-nodes")
+    sample = [F.min(F.struct("doc_id", "text_hash")).alias("sample"), F.max("set_size").alias("set_size")] if exact else []
+    nodes = written(prints.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *sample).withColumn("node", node), "simhash-nodes")
     found = None
     for k in range(searched):
         turned = nodes.select("node", *[F.col(c).alias(name) for c, name in zip([fps[k], *fps[:k], *fps[k + 1 :]], fps, strict=True)])
@@ -444,13 +539,15 @@ def near_duplicates(
     groups = connected_components(found, "a", "b")
     if exact:
         members = nodes.join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"))
-        members = written(members.select("node", "component", "sample.doc_id", "sample.text_hash"), "proposed")
+        members = written(members.select("node", "component", "set_size", "sample.doc_id", "sample.text_hash"), "proposed")
         groups = connected_components(written(similar_links(docs, members, similarity, shingle, id_col, text_col), "links"), "a", "b")
     groups = groups.withColumnRenamed("node", "linked")
-    named = nodes.join(groups, nodes["node"] == groups["linked"], "left").select(*keys, "first_id", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    lookup = named.join(lowest, "component").select(*keys, "component_id")
-    return prints.join(lookup, keys).select("doc_id", *fps, "component_id")
+    named = nodes.join(groups, nodes["node"] == groups["linked"], "left").select(*keys, "first_id", "copies", F.coalesce("component", "node").alias("component"))
+    named = written(named, "named")
+    lowest = written(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "lowest")
+    lookup = join_with_hot_keys(named, lowest, ["component"], "members", named.count()).select(*keys, "component_id", "copies")
+    found = join_with_hot_keys(prints, written(lookup, "lookup"), keys, "copies", prints.count())
+    return found.select("doc_id", *fps, "component_id")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

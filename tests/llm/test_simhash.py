@@ -78,8 +78,8 @@ def test_links_leave_components_whole(spark):
     """Clusters whose buckets are searched breadth-first, against all pairs."""
     from tessera.operators.graph import connected_components
 
-    for parts in (2, 3, 5):
-        fp = clustered(1500, parts)
+    for parts in (2, 3, 5, None):
+        fp = clustered(1500, parts or 1)
         nodes = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "node long, fp long")
         found = simhash.links(nodes, parts=parts)
         assert found.count() < 60 * len(fp)
@@ -88,6 +88,33 @@ def test_links_leave_components_whole(spark):
         assert {k: got.get(k, k) for k in want} == want
 
 
+def test_large_buckets_are_dealt_to_tasks_and_pass_by_in_batches(spark, monkeypatch):
+    from tessera.operators import joins
+    from tessera.operators.graph import connected_components
+
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 20)
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", 4)
+    fp = clustered(1500, 9)
+    nodes = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "node long, fp long")
+    want = components(dict(zip(fp.view(np.int64).tolist(), fp.tolist(), strict=True)))
+    for held in (simhash.HELD_ROWS, 10):
+        monkeypatch.setattr(simhash, "HELD_ROWS", held)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        got = {r.node: r.component for r in connected_components(simhash.links(nodes, parts=3), "a", "b").collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {k: got.get(k, k) for k in want} == want
+    monkeypatch.setattr(joins, "MANY_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_KEYS", 5)
+    docs = hard(spark)
+    check(simhash.near_duplicates(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_number_of_parts_follows_the_number_of_fingerprints():
+    both = np.full((64, 64), 0.25) + np.eye(64) * 0.25
+    few, many = (len(simhash.cheapest_plan(both * n, n, 4, None)[0]) for n in (10_000, 10**9))
+    assert few > many
+
+
 def test_thresholds_follow_the_pigeonhole_rule():
     rng = np.random.default_rng(1)
     bits = (rng.random((4000, 64)) < np.linspace(0.02, 0.5, 64)).astype(float)
@@ -95,7 +122,7 @@ def test_thresholds_follow_the_pigeonhole_rule():
     for parts in (2, 3, 4, 5):
         groups = simhash.correlated_parts(both, 4000, parts)
         assert sorted(b for g in groups for b in g) == list(range(64))
-        assert sum(t + 1 for t in simhash.allocate(groups, both, 4000, 4)) == 5
+        assert sum(t + 1 for t in simhash.allocate(groups, both, 4000, 4)[1]) == 5
 
 
 def jaccard(a, b):
