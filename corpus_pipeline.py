@@ -19,7 +19,7 @@ from tessera.sources.shared import forgotten, scratch, written
 #: Near duplicates: five-word shingles, Jaccard similarity of at least 0.8 on whole texts.
 #: 0.8 means about 39 of 256 differing bits, give or take 6, and 10 of 64, give or take 3:
 #: 60 of all and 13 in one of two words propose a pair.
-NEAR = {"shingle": 5, "radius": 13, "parts": 7, "words": 4, "whole_radius": 60, "searched": 2, "similarity": 0.8}
+NEAR = {"shingle": 5, "radius": 13, "words": 4, "whole_radius": 60, "searched": 2, "similarity": 0.8}
 #: The shortest run of words that counts as repeated: more than 50.
 REPEATED_WORDS = 51
 
