@@ -294,6 +294,8 @@ def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 def _join_filed(filed: int, lo: int, hi: int, fps: list[np.ndarray], label: np.ndarray, radius: int, whole_radius: int | None) -> None:
     """Labels of a large bucket: its filed rows against all its rows, in blocks."""
     everything = np.arange(lo, hi)
+    if (label[lo:hi] == label[lo]).all():
+        return
     step = max(1, PAIRS_AT_ONCE // (hi - lo))
     for i in range(lo, lo + filed, step):
         rows = np.arange(i, min(i + step, lo + filed))
@@ -303,6 +305,8 @@ def _join_filed(filed: int, lo: int, hi: int, fps: list[np.ndarray], label: np.n
             if len(mine) > 1:
                 part = label[lo:hi]
                 part[np.isin(part, mine)] = mine[0]
+        if (label[lo:hi] == label[lo]).all():
+            return
 
 
 def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) -> np.ndarray:
@@ -324,11 +328,14 @@ def _verify(columns: list[np.ndarray], radius: int, whole_radius: int | None) ->
         r, n = rows[at:to], partners[at:to]
         u = np.repeat(r, n)
         v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+        open_pairs = node[u] != node[v]
+        u, v = u[open_pairs], v[open_pairs]
         near = _near(fps, u, v, radius, whole_radius)
         found.append((u[near], v[near]))
         at = to
     if found:
-        _settle(label, *[np.concatenate(c) for c in zip(*found, strict=True)])
+        u, v = (np.concatenate(c) for c in zip(*found, strict=True))
+        _settle(label, u, v)
     count = np.add.reduceat(filed.astype(np.int64), first)
     large = (size > SMALL_BUCKET) & (count > 0)
     for n, i, j in zip(count[large].tolist(), first[large].tolist(), end[large].tolist(), strict=True):
@@ -343,9 +350,10 @@ class _LargeBucket:
     def __init__(self, columns: list[np.ndarray], radius: int, whole_radius: int | None):
         _, filed, node, *fps = columns
         self.node, self.fps = node[filed], [f[filed].view(np.uint64) for f in fps]
-        self.label = np.arange(len(self.node))
+        first, place = np.unique(self.node, return_index=True, return_inverse=True)[1:]
+        self.label = first[place]
         self.limits = radius, whole_radius
-        self.apart = True
+        self.apart = len(first) > 1
 
     def links(self, columns: list[np.ndarray]) -> np.ndarray:
         """(node, a filed node near it) for the rows that have one."""
@@ -365,7 +373,7 @@ class _LargeBucket:
                 mine = np.unique(self.label[near[:, k]])
                 if len(mine) > 1:
                     self.label[np.isin(self.label, mine)] = mine[0]
-            self.apart = bool(self.label.any())
+            self.apart = bool((self.label != self.label[0]).any())
         return np.concatenate(out)
 
     def own(self) -> np.ndarray:
@@ -418,14 +426,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], radius: int, whole_radius
         yield flushed()
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None, whole_radius: int | None = None) -> DataFrame:
-    """(a, b): links among nodes (node, fp...), by way of others, that leave their components whole.
-
-    Nodes are linked when ``fp`` differs in at most ``radius`` bits and, if that is
-    given, all fingerprints together in at most ``whole_radius``.
-    """
-    both = bit_statistics(nodes)
-    groups, thresholds = cheapest_plan(both, nodes.count(), radius, parts)
+def _found_in_buckets(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], radius: int, whole_radius: int | None) -> DataFrame:
+    """(a, b): links among nodes (node, fp...) that leave the components of all links within buckets whole; rows of one node hang together."""
     filed = nodes.select("fp").mapInArrow(lambda it: _filed_keys(it, groups, thresholds), "key long")
     heavy = written(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_NODES), "heavy-buckets")
     fps = [c for c in nodes.columns if c.startswith("fp")]
@@ -435,13 +437,33 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None, whol
         tasks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
         probes = probes.join(heavy.select("key", tasks.alias("tasks")), "key", "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
         probes = probes.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-        mine = F.col("filed") & (F.pmod(F.xxhash64("node"), F.col("tasks")) == F.col("task"))
+        mine = F.col("filed") & (F.pmod(F.xxhash64(*fps), F.col("tasks")) == F.col("task"))
         probes = probes.select(F.when(F.col("tasks") == 1, F.col("key")).otherwise(F.xxhash64("key", "task")).alias("key"), mine.alias("filed"), "node", *fps)
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = probes.repartition(width, "key").sortWithinPartitions("key", F.col("filed").desc())
     return dealt.mapInArrow(lambda it: returned_after(_verify_batches(it, radius, whole_radius)), "a long, b long").distinct()
 
 
+def links(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None, whole_radius: int | None = None) -> DataFrame:
+    """(a, b): links among nodes (node, fp...), by way of others, that leave their components whole.
+
+    Nodes are linked when ``fp`` differs in at most ``radius`` bits and, if that is
+    given, all fingerprints together in at most ``whole_radius``.  First nodes that share
+    a bucket are linked.  Then fingerprints probe other buckets as members of the
+    components so far: pairs within one need no comparison and no further links.
+    """
+    both = bit_statistics(nodes)
+    groups, thresholds = cheapest_plan(both, nodes.count(), radius, parts)
+    found = _found_in_buckets(nodes, groups, [min(t, 0) for t in thresholds], radius, whole_radius)
+    if max(thresholds) <= 0:
+        return found
+    found = written(found, "links")
+    groups_so_far = connected_components(found, "a", "b").withColumnRenamed("node", "linked")
+    fps = [c for c in nodes.columns if c.startswith("fp")]
+    members = nodes.join(groups_so_far, nodes["node"] == groups_so_far["linked"], "left").select(F.coalesce("component", "node").alias("node"), *fps)
+    return found.unionByName(_found_in_buckets(written(members, "members"), groups, thresholds, radius, whole_radius))
+
+
 def _similar(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """(node, node) links that leave whole the components of all pairs with that Jaccard similarity."""
     m = len(node)
