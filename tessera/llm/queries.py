@@ -83,8 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
-#: The mix in closed form: schedule ranks meet the quotas, so a block is taken once per full
-#: pass and once more if it is among the first of the last pass.
+#: The mix with its schedule: points of the slots, ranks per source, blocks of the shuffled line.
 OP6_SQL = r"""WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents),
 keyed AS (SELECT *, md5(concat_ws('/', '20240601', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))) AS rnd, coalesce('s' || source, 'null') AS k FROM sized),
@@ -96,9 +95,16 @@ t AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM l),
 b AS (SELECT *, CAST(greatest(ceil(source_size / greatest(ceil(source_size / 4096), least(source_size, 256), 1)), 1) AS BIGINT) AS len FROM t),
 q AS (SELECT *, CAST(ceil(source_size / len) AS BIGINT) AS blocks, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS passes FROM b),
 z AS (SELECT *, CASE WHEN source_size > 0 THEN least(passes * blocks + CAST(round((target - passes * source_size) / len) AS BIGINT), 2 * blocks) ELSE 0 END AS quota FROM q),
-placed AS (SELECT keyed.*, coalesce(sum(size) OVER (PARTITION BY k ORDER BY rnd, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM keyed)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * (quota // blocks) + greatest(0, least(off + size, (quota % blocks) * len) - off) END AS BIGINT) AS taken
-FROM placed JOIN z USING (k)"""
+c AS (SELECT *, CAST(sum(quota) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS hi, CAST(sum(quota) OVER () AS BIGINT) AS n FROM z),
+g AS (SELECT n, (SELECT min(x) FROM range(500) r(i), LATERAL (SELECT greatest(1, n * 2654435769 // 4294967296) + i AS x) WHERE gcd(x, n) = 1) AS g FROM (SELECT greatest(max(n), 1) AS n FROM c)),
+slots AS (SELECT slot, k, blocks, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, CAST(slot * g.g % g.n AS BIGINT) AS u FROM g, range((SELECT coalesce(max(n), 0) FROM c)) r(slot)) JOIN c ON u >= hi - quota AND u < hi),
+times AS (SELECT k, rank % blocks AS block, count(*) AS times, min(slot) AS slot FROM slots GROUP BY 1, 2),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY k ORDER BY rnd, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM keyed),
+spans AS (SELECT doc_id, k, off, size, len, unnest(range(CAST(off // len AS BIGINT), CAST((off + size - 1) // len + 1 AS BIGINT))) AS block FROM placed JOIN c USING (k) WHERE size > 0),
+got AS (SELECT doc_id, k, off, sum((least(off + size, (block + 1) * len) - greatest(off, block * len)) * times) AS taken, min(slot) AS first_slot FROM spans JOIN times USING (k, block) GROUP BY 1, 2, 3)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END AS BIGINT) AS taken, CASE WHEN size > 0 THEN first_slot END AS first_slot
+FROM placed JOIN c USING (k) LEFT JOIN got USING (doc_id, k, off)"""
 
 #: Every 400-byte string of every text, on the bytes as hexadecimal digits; and every run of 51 words.
 OP8_SQL = r"""WITH n AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),

@@ -118,7 +118,7 @@ def test_schedule_spreads_sources(spark, sf):
     targets = mixing.source_targets(sized)
     quota = {r._key: r.quota for r in targets.collect()}
     slots = sorted(mixing.slot_schedule(targets).collect(), key=lambda r: r.slot)
-    assert Counter(r._key for r in slots) == Counter(quota)
+    assert Counter(r._key for r in slots) == Counter(quota) and [r.slot for r in slots] == list(range(len(slots)))
     total, seen = sum(quota.values()), Counter()
     for i, r in enumerate(slots, 1):
         seen[r._key] += 1
@@ -126,6 +126,31 @@ def test_schedule_spreads_sources(spark, sf):
             assert all(abs(seen[k] - i * q / total) < 12 for k, q in quota.items())
 
 
+def test_the_golden_sequence_decides_the_order(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = {r.doc_id: r.first_slot for r in mixing.mixed_documents(docs).collect()}
+    rows = mixing.mixed_rows(docs).collect()
+    place = {}
+    for i, r in enumerate(rows):
+        place.setdefault(r.doc_id, i)
+    assert set(place) == {d for d, s in first.items() if s is not None}
+    in_order = sorted(place, key=place.get)
+    assert [first[d] for d in in_order] == sorted(first[d] for d in in_order)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    assert len({source[r.doc_id] for r in rows[:60]}) > 10
+    monkeypatch.setattr(mixing, "golden_multiplier", lambda n: 1)
+    other = {r.doc_id: r.first_slot for r in mixing.mixed_documents(docs).collect()}
+    assert other != first
+
+
+def test_golden_multiplier_has_no_common_factor():
+    from math import gcd
+
+    for n in [1, 2, 3, 30030, 510510, 9699690, 2**31 - 1, 2**31]:
+        g = mixing.golden_multiplier(n)
+        assert gcd(g, n) == 1 and g * n < 2**63
+
+
 def check_pieces(texts, rows, path):
     from tokenizers import Tokenizer
 
