@@ -117,8 +117,8 @@ def golden_records(resolved: DataFrame, recency_col: str, id_column: str = "cust
     w = Window.partitionBy("_golden_id").orderBy(F.col(recency_col).desc_nulls_last(), id_column)
     whole = Window.partitionBy("_golden_id")
     consents = {c: F.coalesce(F.bool_or(c).over(whole), F.col(c)) for c in resolved.columns if c.startswith("consent_")}
-    out = resolved.withColumn("_rn", F.row_number().over(w))
-    return (out.withColumns(consents) if consents else out).filter("_rn = 1").drop("_rn")
+    out = resolved.withColumn("__tessera_rn", F.row_number().over(w))
+    return (out.withColumns(consents) if consents else out).filter("__tessera_rn = 1").drop("__tessera_rn")
 
 
 def hash_identifiers(df: DataFrame, columns: Sequence[str] = ("aadhaar", "pan_card", "email", "phone")) -> DataFrame:

@@ -14,7 +14,7 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order_col: str, *, ascending
     """One row per key: the latest (or earliest); ties by ``tie_breakers``."""
     first = F.col(order_col).asc_nulls_last() if ascending else F.col(order_col).desc_nulls_last()
     w = Window.partitionBy(*keys).orderBy(first, *tie_breakers)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return df.withColumn("__tessera_rn", F.row_number().over(w)).filter("__tessera_rn = 1").drop("__tessera_rn")
 
 
 def drop_duplicates(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -28,15 +28,15 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     written once, so that offsets and rows agree, and the offsets (one per partition)
     are joined.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__tessera_place", F.monotonically_increasing_id())
     ranged = written(ranged, "ranked")
-    parts = ranged.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    parts = ranged.groupBy(F.shiftright("__tessera_place", 33).alias("__tessera_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("__tessera_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__tessera_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("__tessera_offset"))
     total = parts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    out = ranged.withColumn("_part", F.shiftright("_place", 33)).join(offsets, "_part")
-    number = F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return out.withColumn(name, number).drop("_part", "_offset", "_place"), total
+    out = ranged.withColumn("__tessera_part", F.shiftright("__tessera_place", 33)).join(offsets, "__tessera_part")
+    number = F.col("__tessera_offset") + F.col("__tessera_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return out.withColumn(name, number).drop("__tessera_part", "__tessera_offset", "__tessera_place"), total
 
 
 def except_distinct(left: DataFrame, right: DataFrame) -> DataFrame:

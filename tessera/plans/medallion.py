@@ -20,7 +20,11 @@ WHOLE_MASKS = {"delivery_pincode": "tokenize"}
 
 
 def bronze_to_silver(orders: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """(silver, quarantine) of orders: latest per id, keys filled, values in range, masked."""
+    """(silver, quarantine) of orders: latest per id, keys filled, values in range, masked.
+
+    Rows without an id go to quarantine one by one, before the others are deduplicated.
+    """
+    orders, keyless = checks.split(orders, [checks.not_null("order_id")])
     deduped = ranking.deduplicate(orders, ["order_id"], "order_timestamp", tie_breakers=[c for c in ("order_value", "customer_id") if c in orders.columns])
     deduped = deduped.withColumn("order_value", F.expr("try_cast(order_value AS double)"))
     valid, bad = checks.split(deduped, [checks.not_null("order_id"), checks.not_null("customer_id"), checks.between("order_value", 0.0, 1_000_000.0)])
@@ -28,6 +32,7 @@ def bronze_to_silver(orders: DataFrame, run_id: str) -> tuple[DataFrame, DataFra
         valid = pii.mask_pii_columns(valid, [column], strategy)
     whole = {c: pii.mask_whole(F.col(c), s) for c, s in WHOLE_MASKS.items() if c in valid.columns}
     valid = valid.withColumns(whole) if whole else valid
+    bad = bad.unionByName(keyless.withColumn("order_value", F.expr("try_cast(order_value AS double)")))
     return ingest.silver_metadata(valid, run_id), bad
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.pii import mask_column
+from tessera.operators.ranking import deduplicate
 
 #: Fixed values of the event generator.
 EVENT_TYPES = ["page_view", "search", "add_to_cart", "remove_from_cart", "checkout", "purchase", "review", "wishlist"]
@@ -88,11 +89,11 @@ def start_rate_benchmark(spark: SparkSession, rows_per_second: int = 10_000, dur
     return {"rows": total, "seconds": duration_s, "rows_per_second": total / duration_s}
 
 
-def upsert_batches(keys: list[str], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: each batch's last row per key, with its batch id, so replays can be told."""
+def upsert_batches(keys: list[str], order_col: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: each batch's last row per key by ``order_col``, with its batch id, so replays can be told."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write(batch.dropDuplicates(keys), batch_id)
+        write(deduplicate(batch, keys, order_col), batch_id)
 
     return run
 

@@ -93,3 +93,25 @@ def test_join_with_hot_keys_equals_a_plain_join(spark, monkeypatch):
         got = joins.join_with_hot_keys(rows, table, ["k"], "n", 201)
         assert got.columns == ["k", "x", "y"]
         assert sorted(map(tuple, got.collect())) == sorted((k, x, 10 * k) for k, x in map(tuple, rows.collect()) if k not in (None, 3))
+
+
+def test_rows_without_a_key_are_all_quarantined(spark):
+    from tessera.plans.medallion import bronze_to_silver
+
+    rows = [("a", "c1", "5.0", "2024-01-01"), ("a", "c1", "6.0", "2024-01-02"), (None, "c2", "7.0", "2024-01-01"), (None, "c2", "7.0", "2024-01-01"), (None, None, "x", None), ("b", None, "1", "2024-01-01")]
+    silver, bad = bronze_to_silver(spark.createDataFrame(rows, "order_id string, customer_id string, order_value string, order_timestamp string"), "run")
+    assert [(r.order_id, r.order_value) for r in silver.collect()] == [("a", 6.0)]
+    assert sorted(str(r.order_id) for r in bad.collect()) == ["None", "None", "None", "b"]
+
+
+def test_upserts_take_the_last_row_and_keep_clashing_columns(spark):
+    from tessera.operators.ranking import global_row_number
+    from tessera.streaming.ingest import upsert_batches
+
+    rows = spark.createDataFrame([(1, 5, "old", 0), (1, 9, "new", 0), (2, 1, "only", 7)], "k int, t int, v string, _rn int")
+    got = []
+    upsert_batches(["k"], "t", lambda df, batch: got.extend((batch, *r) for r in df.collect()))(rows, 4)
+    assert sorted(got) == [(4, 1, 9, "new", 0), (4, 2, 1, "only", 7)]
+    clash = rows.select("k", F.col("t").alias("_place"), F.col("v").alias("_part"))
+    out, n = global_row_number(clash, [F.col("_place").asc()])
+    assert n == 3 and sorted((r.row_number, r._place, r._part) for r in out.collect()) == [(1, 1, "only"), (2, 5, "old"), (3, 9, "new")]
