@@ -12,7 +12,8 @@ more shard takes rows only into itself.
 Null text counts as empty, a null key is a key of its own, rows repeated in full
 get slots of their own, an empty table gives no rows.  Rows that share a key share
 its shard, but their texts spread them over its buckets.  Input columns named as
-an output (``shard``, ``slot``, ``grown_shard``) are replaced.
+an output (``shard``, ``slot``, ``grown_shard``) are replaced; names that start with
+``__tessera`` are reserved.
 """
 
 from __future__ import annotations
@@ -44,18 +45,18 @@ def _shuffle_buckets(batches: Iterator[pa.RecordBatch], seed: int, names: list[s
 
     def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        shard, bucket = table.column("shard")[0].as_py(), table.column("_bucket")[0].as_py()
+        shard, bucket = table.column("shard")[0].as_py(), table.column("__tessera_bucket")[0].as_py()
         order = list(range(len(table)))
         random.Random(f"{seed}/{shard}/{bucket}").shuffle(order)  # Fisher-Yates
-        mixed = table.take(pa.array(order)).append_column("_in", pa.array(range(len(order)), pa.int64()))
-        return mixed.select([*names, "_in"]).combine_chunks().to_batches()[0]
+        mixed = table.take(pa.array(order)).append_column("__tessera_in", pa.array(range(len(order)), pa.int64()))
+        return mixed.select([*names, "__tessera_in"]).combine_chunks().to_batches()[0]
 
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(batch.column("shard").to_pylist(), batch.column("_bucket").to_pylist(), strict=True))
+        keys = list(zip(batch.column("shard").to_pylist(), batch.column("__tessera_bucket").to_pylist(), strict=True))
         start = 0
         for i, key in enumerate(keys):
             if key != now:
@@ -76,25 +77,25 @@ def shuffled_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str =
     from the total size; only bucket counts (one row per bucket) are joined to give
     slots, and they are not collected.
     """
-    docs = docs.drop("shard", "slot", "grown_shard", "_bucket", "_in", "_base")
+    docs = docs.drop("shard", "slot", "grown_shard")
     total = docs.agg(F.coalesce(F.sum(record_size(F.col(text_col))), F.lit(0))).first()[0]
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     key = F.col(key_col)
     tagged = docs.withColumns({
         "shard": rendezvous_shard(key, shards, seed),
         "grown_shard": rendezvous_shard(key, shards + 1, seed),
-        "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), key, F.col(text_col)), F.lit(per_shard)).cast("int"),
+        "__tessera_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), key, F.col(text_col)), F.lit(per_shard)).cast("int"),
     })
-    counts = tagged.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    counts = tagged.groupBy("shard", "__tessera_bucket").agg(F.count("*").alias("__tessera_n"))
+    earlier = Window.partitionBy("shard").orderBy("__tessera_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("shard", "__tessera_bucket", F.coalesce(F.sum("__tessera_n").over(earlier), F.lit(0)).alias("__tessera_base"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(shards * per_shard, 1 << 16))
-    rows = tagged.repartition(parts, "shard", "_bucket")
-    rows = rows.sortWithinPartitions("shard", "_bucket", key_col, text_col)
+    rows = tagged.repartition(parts, "shard", "__tessera_bucket")
+    rows = rows.sortWithinPartitions("shard", "__tessera_bucket", key_col, text_col)
     names = tagged.columns
-    schema = T.StructType([*tagged.schema.fields, T.StructField("_in", T.LongType())])
+    schema = T.StructType([*tagged.schema.fields, T.StructField("__tessera_in", T.LongType())])
     mixed = rows.mapInArrow(lambda it: _shuffle_buckets(it, seed, names), schema)
-    placed = mixed.join(base, ["shard", "_bucket"]).withColumn("slot", F.col("_base") + F.col("_in"))
+    placed = mixed.join(base, ["shard", "__tessera_bucket"]).withColumn("slot", F.col("__tessera_base") + F.col("__tessera_in"))
     return placed.select(*docs.columns, "shard", "slot", "grown_shard")
 
 

@@ -42,6 +42,8 @@ def test_sharding_small_buckets_and_hard_rows(spark):
     by = defaultdict(list)
     for r in rows:
         by[r.shard].append(r.slot)
+    clash = sharding.shuffled_shards(hard(spark).withColumnsRenamed({"_id": "_bucket", "_size": "_in", "word": "_base"}), shards=3)
+    assert {"_bucket", "_in", "_base"} <= set(clash.columns) and {r._in for r in clash.collect()} == {1}
     assert len(rows) == 20 and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sharding.shuffled_shards(empty(spark)).count() == 0
 
