@@ -20,8 +20,9 @@ put into classes by 128-bit hashes instead of being sorted: classes are counted
 map-side combination and no class has to fit into a task.
 
 Runs of words instead of bytes go the same way: ``removed_word_runs`` writes a text as
-four bytes of hash per word, so that a run of n words is a string of 4 n bytes
-whatever its words' lengths, and cuts the words that the strings found cover.
+four bytes of hash per word and takes these codes as the units of strings, so that a
+run of n words is a string of n units whatever its words' lengths, and cuts the words
+that the strings found cover.  Lengths, positions and counts below are in units.
 ``removed_repeats`` can count such runs beside its strings: passages of n words may be
 shorter than ``length`` bytes.
 
@@ -50,7 +51,6 @@ from tessera.sources.shared import forgotten, written
 LENGTH = 400
 GRAM = 64
 BLOCK = 16
-SIDE = BLOCK - 1
 PLACE_BITS = 28
 CHUNK_BYTES = 1 << 20
 U = np.uint64
@@ -124,16 +124,17 @@ def _longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, gram: int, unit: int) -> Iterator[pa.RecordBatch]:
     powers = _Powers()
     for batch in batches:
         doc, text_hash = batch.column(0), batch.column(1)
         for lo, _, data, off in chunks(batch.column(2), CHUNK_BYTES):
+            raw = memoryview(data.tobytes())
+            data, off = np.frombuffer(raw, f"<u{unit}"), off // unit
             at, first, last, h = triggers(data, off, length, gram, powers)
             if not len(at):
                 continue
-            raw = memoryview(data.tobytes())
-            names = [xxh3_128_digest(raw[i:j], seed=s) for i, j, s in zip(first.tolist(), (last + length).tolist(), (at - first).tolist(), strict=True)]
+            names = [xxh3_128_digest(raw[i:j], seed=s) for i, j, s in zip((first * unit).tolist(), ((last + length) * unit).tolist(), (at - first).tolist(), strict=True)]
             row = np.searchsorted(off, at, "right") - 1
             c1, c2 = _longs(names)
             who = pa.array(row + lo)
@@ -145,27 +146,32 @@ PARSE = "doc_id long, text_hash long, trigger long, p1 long, p2 long, at int, d_
 BLOCKS = "doc_id long, text_hash long, k1 long, k2 long, sides binary, base int, weight int"
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _side(length: int) -> int:
+    """Strings of a block less one; their common core has one unit at least."""
+    return min(BLOCK, length) - 1
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch], length: int, unit: int) -> Iterator[pa.RecordBatch]:
     """Blocks of the phrases to compare, clipped to the strings that a phrase serves.
 
     So each string of a text is in one block only.  ``sides`` holds the clip and the
     bytes at either side of the core that the block's strings reach.
     """
-    core_size = length - SIDE
+    side = _side(length)
+    block, core_size, side_bytes = side + 1, (length - side) * unit, side * unit
     for batch in batches:
         rows: list[tuple] = []
         keys: list[bytes] = []
         for doc, text_hash, text, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             data = text.as_py()
             data = data.encode() if isinstance(data, str) else data
-            n = len(data)
             for at, low, high, weight in zip(phrases["at"], phrases["d_low"], phrases["d_high"], phrases["weight"], strict=True):
-                for k in range(low // BLOCK, high // BLOCK + 1):
-                    core = at - BLOCK * k
-                    base = core - SIDE
-                    j_low, j_high = max(0, core - base - (high - BLOCK * k)), min(SIDE, core - base - (low - BLOCK * k))
-                    left, right = data[base + j_low : core], data[base + length : base + length + j_high]
-                    sides = bytes((j_low, j_high)) + left.rjust(SIDE, b"\0") + right.ljust(SIDE, b"\0")
+                for k in range(low // block, high // block + 1):
+                    base = at - block * k - side
+                    j_low, j_high = max(0, side - (high - block * k)), min(side, side - (low - block * k))
+                    core, after = (base + side) * unit, (base + length) * unit
+                    left, right = data[(base + j_low) * unit : core], data[after : after + j_high * unit]
+                    sides = bytes((j_low, j_high)) + left.rjust(side_bytes, b"\0") + right.ljust(side_bytes, b"\0")
                     keys.append(xxh3_128_digest(data[core : core + core_size]))
                     rows.append((doc, text_hash, sides, base, weight))
             if len(rows) > 20_000:
@@ -218,9 +224,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, runs: int | Non
         for text, (start, count, word_start, word_count) in zip(batch.column(0), marks, strict=True):
             data = (text.as_py() or "").encode()
             starts, ends = _merged(start, count, length)
-            of, to = _merged(word_start, word_count, (runs or 0) * CODE)
-            words = [(-(-i // CODE), j // CODE) for i, j in zip(of, to, strict=True)]
-            words = [(i, j) for i, j in words if i < j]
+            words = list(zip(*_merged(word_start, word_count, runs or 0), strict=True))
             if cut_words:
                 starts, ends = _spans_of_words(data, words)
             kept, at = [], 0
@@ -236,12 +240,12 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, runs: int | Non
         yield pa.RecordBatch.from_arrays([*cols, *rest], names=[*OUTPUTS, *batch.schema.names[5:]])
 
 
-def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_hash, start, count): runs of strings that also start elsewhere.
+def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
+    """(doc_id, text_hash, start, count): runs of strings of ``length`` units that also start elsewhere.
 
-    ``texts`` has doc_id, text_hash and text.
+    ``texts`` has doc_id, text_hash and text, of a multiple of ``unit`` bytes (1, 2 or 4).
     """
-    parse = written(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: returned_after(_parse_batches(it, length, gram)), PARSE), "parse")
+    parse = written(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: returned_after(_parse_batches(it, length, gram, unit)), PARSE), "parse")
     # The dictionary: distinct phrases with their number of occurrences.
     phrase = ["trigger", "p1", "p2"]
     place = F.xxhash64("doc_id", "text_hash", "at")  # one occurrence, the least by hash, stands for its phrase
@@ -264,7 +268,7 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     asked = asked.select("doc_id", "text_hash", F.struct(*[F.col("list")[k].alias(k) for k in fields]).alias("phrases"))
     both = (texts["doc_id"].eqNullSafe(asked["doc_id"])) & (texts["text_hash"] == asked["text_hash"])
     to_cut = texts.join(asked, both).select(texts["doc_id"], texts["text_hash"], texts["text"], "phrases")
-    blocks = written(to_cut.mapInArrow(lambda it: returned_after(_block_batches(it, length)), BLOCKS), "blocks")
+    blocks = written(to_cut.mapInArrow(lambda it: returned_after(_block_batches(it, length, unit)), BLOCKS), "blocks")
     core, block = ["k1", "k2"], ["k1", "k2", "sides"]
     classes = written(blocks.groupBy(*block).agg(F.sum("weight").alias("weight")), "block-classes")
     cores = classes.groupBy(*core).agg(F.sum("weight").alias("all"), F.count("*").alias("classes")).filter("all > 1").select(*core, "classes", F.col("classes").alias("rows"))
@@ -274,8 +278,9 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
     # String by string where a core has several classes.
     single = classes.filter("classes > 1").withColumn("j", F.explode(F.sequence(low, high)))
-    left = F.expr("substring(sides, 3 + j, 15 - j)")
-    right = F.expr("substring(sides, 18, j)")
+    side = _side(length)
+    left = F.expr(f"substring(sides, 3 + {unit} * j, {unit} * ({side} - j))")
+    right = F.expr(f"substring(sides, {3 + side * unit}, {unit} * j)")
     key: list[Column] = [F.xxhash64(F.lit(s), "k1", "k2", "j", left, right) for s in (1, 2)]
     single = single.withColumns({"s1": key[0], "s2": key[1]})
     twice = single.groupBy("s1", "s2").agg(F.sum("weight").alias("all")).filter("all > 1").select("s1", "s2")
@@ -316,7 +321,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int | None, gr
         found.append(repeated_strings(long.filter(F.octet_length("text") >= length), length, gram).withColumn("words", F.lit(False)))
     if run_words:
         codes = long.mapInArrow(lambda it: returned_after(_code_batches(it)), "doc_id long, text_hash long, text binary").filter(F.octet_length("text") >= run_words * CODE)
-        found.append(repeated_strings(codes, run_words * CODE, min(run_words, WORD_GRAM) * CODE).withColumn("words", F.lit(True)))
+        found.append(repeated_strings(codes, run_words, min(run_words, WORD_GRAM), CODE).withColumn("words", F.lit(True)))
     found = [written(f, "marks") for f in found]
     marks = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     lists = [F.collect_list(F.when(F.col("words") == w, F.struct("start", "count"))).alias(k) for w, k in ((False, "bytes"), (True, "codes"))]

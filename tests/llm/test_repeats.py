@@ -145,6 +145,22 @@ def plain_runs(texts, n):
     return out
 
 
+@pytest.mark.parametrize("words", [1, 3, 16, 20, 51])
+def test_runs_of_words_equal_brute_force(spark, words):
+    """Runs shorter than a block and longer, with one word changed, periodic, at both ends, and in any white space."""
+    rng = random.Random(words)
+    pieces = [[rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 2 * words + 9))] for _ in range(6)]
+    texts = [None, "", " \t ", "a " * 3 * words, "a " * words, "b", "c"]
+    for d in range(40):
+        got = [w for _ in range(rng.randrange(1, 4)) for w in (rng.choice(pieces) if rng.random() < 0.7 else [f"{d}x{i}" for i in range(rng.randrange(9))])]
+        if got and rng.random() < 0.5:
+            got[rng.randrange(len(got))] = f"only{d}"
+        texts.append("".join(w + rng.choice([" ", "  ", "\n"]) for w in got))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = dict(enumerate(plain_runs(texts, words)))
+    assert {r.doc_id: (r.n_word_runs, r.n_run_words) for r in repeats.removed_word_runs(docs, words=words).collect()} == want
+
+
 def test_query_reports_passages_of_over_50_words(spark, sf):
     from tessera.llm.queries import op8_repeats
 
