@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,10 +193,12 @@ def _word_codes(text: str) -> bytes:
     return b"".join(map(xxh32_digest, WORD.findall(text.encode())))
 
 
-def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _code_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Word codes of the texts that have at least ``least`` words."""
     for batch in batches:
         codes = pa.array([_word_codes(x.as_py() or "") for x in batch.column(2)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["doc_id", "text_hash", "text"])
+        coded = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["doc_id", "text_hash", "text"])
+        yield coded.filter(pc.greater_equal(pc.binary_length(codes), least * CODE))
 
 
 def _spans_of_words(data: bytes, runs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -240,12 +243,28 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, runs: int | Non
         yield pa.RecordBatch.from_arrays([*cols, *rest], names=[*OUTPUTS, *batch.schema.names[5:]])
 
 
+def repeated_word_runs(texts: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, start, count): runs of ``words`` words that also start elsewhere, counted in words.
+
+    Texts are coded and parsed by one worker: two in a row would double the Python workers of an executor.
+    """
+    gram, texts = min(words, WORD_GRAM), texts.select("doc_id", "text_hash", "text")
+    parse = texts.mapInArrow(lambda it: returned_after(_parse_batches(_code_batches(it, words), words, gram, CODE)), PARSE)
+    codes = texts.mapInArrow(lambda it: returned_after(_code_batches(it, words)), "doc_id long, text_hash long, text binary")
+    return _repeated(codes, parse, words, CODE)
+
+
 def repeated_strings(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
     """(doc_id, text_hash, start, count): runs of strings of ``length`` units that also start elsewhere.
 
     ``texts`` has doc_id, text_hash and text, of a multiple of ``unit`` bytes (1, 2 or 4).
     """
-    parse = written(texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: returned_after(_parse_batches(it, length, gram, unit)), PARSE), "parse")
+    parse = texts.select("doc_id", "text_hash", "text").mapInArrow(lambda it: returned_after(_parse_batches(it, length, gram, unit)), PARSE)
+    return _repeated(texts, parse, length, unit)
+
+
+def _repeated(texts: DataFrame, parse: DataFrame, length: int, unit: int) -> DataFrame:
+    parse = written(parse, "parse")
     # The dictionary: distinct phrases with their number of occurrences.
     phrase = ["trigger", "p1", "p2"]
     place = F.xxhash64("doc_id", "text_hash", "at")  # one occurrence, the least by hash, stands for its phrase
@@ -320,8 +339,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, length: int | None, gr
     if length:
         found.append(repeated_strings(long.filter(F.octet_length("text") >= length), length, gram).withColumn("words", F.lit(False)))
     if run_words:
-        codes = long.mapInArrow(lambda it: returned_after(_code_batches(it)), "doc_id long, text_hash long, text binary").filter(F.octet_length("text") >= run_words * CODE)
-        found.append(repeated_strings(codes, run_words, min(run_words, WORD_GRAM), CODE).withColumn("words", F.lit(True)))
+        found.append(repeated_word_runs(long, run_words).withColumn("words", F.lit(True)))
     found = [written(f, "marks") for f in found]
     marks = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     lists = [F.collect_list(F.when(F.col("words") == w, F.struct("start", "count"))).alias(k) for w, k in ((False, "bytes"), (True, "codes"))]
