@@ -23,18 +23,21 @@ results, an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.arrow import chunks
+from tessera.llm.arrow import chunks, memory_returned, returned_after
 from tessera.sources.shared import written
 
 SAMPLE_ROWS = 20_000
 LEAST_PER_LANGUAGE = 500
 LANGUAGES_AT_ONCE = 32
+SCORED_BYTES = 1 << 18
 TRIGRAM_BITS = 15
 TEMPER = 0.25
 SMOOTHING = 0.05
@@ -78,7 +81,7 @@ def _count_batches(batches, languages: list[str]):
     total = np.zeros((len(languages), width), np.int64)
     for batch in batches:
         which = [index.get(x, -1) for x in batch.column(0).to_pylist()]
-        for lo, hi, data, off in chunks(batch.column(1)):
+        for lo, hi, data, off in chunks(batch.column(1), SCORED_BYTES):
             cell = trigram_cells(data, off)
             for i in range(lo, hi):
                 if which[i] >= 0:
@@ -101,7 +104,7 @@ def text_model(docs: DataFrame, text: Column, declared: Column, key: Column, sam
     draw = F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     limit = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])[F.col("lang")] if share else F.lit(0.0)
     sample = rows.filter(draw < limit).select("lang", "text")
-    counts = sample.mapInArrow(lambda it: _count_batches(it, languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(lambda it: returned_after(_count_batches(it, languages)), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages) + 1, 1 << TRIGRAM_BITS), SMOOTHING)
     table[counts["lang"].to_numpy(), counts["cell"].to_numpy()] += counts["n"].to_numpy()
     log = np.log(table / table.sum(1, keepdims=True))
@@ -115,10 +118,9 @@ def text_scores(model: np.ndarray):
     tables = [np.ascontiguousarray(model[i : i + LANGUAGES_AT_ONCE].T) for i in range(0, width, LANGUAGES_AT_ONCE)]
     none = 1 << TRIGRAM_BITS
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def scores(text: pa.Array) -> pa.Array:
+    def scored(text: pa.Array) -> pa.Array:
         parts = []
-        for _, _, data, off in chunks(text, 1 << 20):
+        for _, _, data, off in chunks(text, SCORED_BYTES):
             cell = trigram_cells(data, off)
             n = len(off) - 1
             sums = np.zeros((n, width), np.float32)
@@ -135,6 +137,11 @@ def text_scores(model: np.ndarray):
         rows = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), width).cast(pa.list_(pa.float32()))
         return pa.array([None], rows.type).take(pa.array([], pa.int64())) if not len(flat) else rows
 
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(scored, texts)
+        memory_returned()
+
     return scores
 
 
