@@ -37,7 +37,7 @@ TABLE_SLOTS = 1 << 19
 POOL_IDS = 6 << 20
 POOL_BYTES = 12 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-TOKENIZED_BYTES = 1 << 20
+TOKENIZED_BYTES = 1 << 18
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OPEN = PIECES.replace("offset long", "offset long, open boolean, merge_group long")
