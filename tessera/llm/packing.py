@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -43,18 +43,38 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 OPEN = PIECES.replace("offset long", "offset long, open boolean, merge_group long")
 
 
+def _bytes_of(characters: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(characters.encode())] = True
+    return found
+
+
+LETTERS = _bytes_of(string.ascii_letters)
+TAILS = _bytes_of(string.punctuation.replace("'", ""))
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters from A to z or À to ÿ."""
+    found = LETTERS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[lead + 1]
+    lead = lead[(after != 0x97) & (after != 0xB7)]  # × and ÷
+    found[lead] = found[lead + 1] = True
+    return found
+
+
 class WordTokenizer:
     """Whole-text ids of a tokenizer whose words never span white space.
 
     The vocabulary's normalizer and pre-tokenizer act within runs of non-space
-    characters, so ids of a text are the ids of its runs one after another.  Runs
-    are found and hashed (64 bits) as arrays and looked up in a two-way table of
-    fixed size; what is found counts only if its bytes are the run's, as different
-    runs may share a hash.  Only other runs become strings.  Those are kept in two
-    generations of bounded size.  A run of Latin letters with trailing punctuation
-    is two words, each with ids of its own; unknown letter runs are encoded together
-    and their ids told apart by the tokens that end a word.  All other runs are
-    encoded one by one.
+    characters, so ids of a text are the ids of its runs one after another.  A run
+    of Latin letters with trailing punctuation is two words, each with ids of its own,
+    and is cut in two; all other runs stay whole.  Words are found and hashed (64 bits)
+    as arrays and looked up in a two-way table of fixed size; what is found counts only
+    if its bytes are the word's, as different words may share a hash.  Unknown words of
+    letters are encoded together and their ids told apart by the tokens that end a
+    word.  Only other words become strings; they are encoded one by one and kept in two
+    generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -65,9 +85,8 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.two_words = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.known: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.power = self.inverse = np.zeros(0, np.uint64)
         self._clear()
 
@@ -81,7 +100,7 @@ class WordTokenizer:
         self.letters, self.used_bytes = np.zeros(POOL_BYTES, np.uint8), 0
 
     def _runs(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and hash of every run of non-space bytes within a text, and the runs' bytes one after another."""
+        """Start, end and hash of every word within a text, and the words' bytes one after another."""
         word = ~((data == 32) | ((data >= 9) & (data <= 13)))
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
@@ -91,6 +110,16 @@ class WordTokenizer:
         opens[cut] = word[cut]
         closes[cut - 1] = word[cut - 1]
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        letter, tail = _latin(data), TAILS[data]
+        whole = word & ~(letter | tail)  # bytes that keep their run from being cut
+        whole |= opens & ~letter
+        whole[1:] |= tail[:-1] & letter[1:] & ~opens[1:]
+        seen = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(whole, out=seen[1:])
+        inner = np.flatnonzero(letter[:-1] & tail[1:]) + 1
+        run = np.searchsorted(start, inner, "right") - 1
+        inner = inner[seen[start[run]] == seen[end[run]]]
+        start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
         n = len(data) + 1
         if len(self.power) < n:
             with np.errstate(over="ignore"):
@@ -111,7 +140,7 @@ class WordTokenizer:
         return self.keys[way, slot] == h, *(x[way, slot] for x in (self.at, self.count, self.bytes_at, self.bytes_count))
 
     def _others(self, own: np.ndarray, size: np.ndarray, bytes_at: np.ndarray, bytes_count: np.ndarray) -> np.ndarray:
-        """Indexes of runs whose bytes are not those of the entry with their hash."""
+        """Indexes of words whose bytes are not those of the entry with their hash."""
         stop = np.cumsum(size, dtype=np.int32)
         place = np.repeat(bytes_at - (stop - size).astype(np.int32), size)
         place += np.arange(len(own), dtype=np.int32)
@@ -121,18 +150,14 @@ class WordTokenizer:
 
     def packed(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, one after another, and n+1 offsets into them."""
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
         start, end, h, own = self._runs(data, off)
         hit, at, count, bytes_at, bytes_count = self._look_up(h)
         miss = np.flatnonzero(~hit)
-        pool, raw = self.pool, data.tobytes()
+        pool = self.pool
         if len(miss):
-            new, first = np.unique(h[miss], return_index=True)
-            starts, ends = start[miss[first]], end[miss[first]]
-            words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            ids, size = self._ids_of(words)
-            fresh, letters = np.frombuffer(b"".join(ids), "<u4"), np.frombuffer("".join(words).encode(), np.uint8)
+            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            starts, length = start[miss[first]], (end - start)[miss[first]]
+            fresh, places, sizes, letters = self._ids_of(data, starts, length)
             if self.used + len(fresh) > POOL_IDS or self.used_bytes + len(letters) > POOL_BYTES:
                 self._clear()
                 if len(new) != len(np.unique(h)) or len(fresh) > POOL_IDS or len(letters) > POOL_BYTES:
@@ -142,9 +167,7 @@ class WordTokenizer:
             self.letters[self.used_bytes : self.used_bytes + len(letters)] = letters
             slot = (new >> np.uint64(20)).astype(np.int64) & (TABLE_SLOTS - 1)
             way = (self.keys[0][slot] != 0).astype(np.int64)
-            which = np.searchsorted(new, h[miss])
-            length = ends - starts
-            entries = (self.used + np.cumsum(size) - size, size, self.used_bytes + np.cumsum(length) - length, length)
+            entries = (self.used + places, sizes, self.used_bytes + np.cumsum(length) - length, length)
             self.keys[way, slot] = new
             for table, found, value in zip((self.at, self.count, self.bytes_at, self.bytes_count), (at, count, bytes_at, bytes_count), entries, strict=True):
                 table[way, slot] = value
@@ -152,19 +175,50 @@ class WordTokenizer:
             self.used, self.used_bytes = self.used + len(fresh), self.used_bytes + len(letters)
         other = self._others(own, end - start, bytes_at, bytes_count)
         if len(other):
-            ids, size = self._ids_of([raw[a:b].decode() for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)])
-            pool = np.concatenate([pool[: self.used], np.frombuffer(b"".join(ids), "<u4")])
-            at[other], count[other] = self.used + np.cumsum(size) - size, size
+            ids, places, sizes, _ = self._ids_of(data, start[other], (end - start)[other])
+            pool = np.concatenate([pool[: self.used], ids])
+            at[other], count[other] = self.used + places, sizes
         total = np.cumsum(count) if len(count) else np.zeros(0, np.int64)
         ids = pool[np.repeat(at - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
         stops = np.r_[0, total][np.searchsorted(start, off)]
         return ids, stops
 
-    def _ids_of(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """Ids of each word, and their numbers."""
-        self._learn(set(words))
-        ids = [self.known[w] for w in words]
-        return ids, np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    def _ids_of(self, data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of words, place and number of each word's, and the words' bytes one after another."""
+        stop = np.cumsum(length)
+        own = data[np.repeat(starts - (stop - length), length) + np.arange(stop[-1])]
+        letter = np.logical_and.reduceat(_latin(own), stop - length)
+        places, sizes = np.zeros((2, len(starts)), np.int64)
+        ids = np.zeros(0, "<u4")
+        if letter.any():
+            n = int(letter.sum())
+            size = length[letter]
+            spaced = np.full(int(size.sum()) + n, 32, np.uint8)
+            spaced[np.arange(len(spaced) - n) + np.repeat(np.arange(n), size)] = own[np.repeat(letter, length)]
+            ids = np.array(self.tokenizer.encode_batch_fast([spaced.tobytes().decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == n and ends[-1] == len(ids):
+                sizes[letter] = np.diff(ends, prepend=0)
+                places[letter] = ends - sizes[letter]
+            else:
+                ids, letter = ids[:0], np.zeros(len(letter), bool)
+        if not letter.all():
+            rest, raw = np.flatnonzero(~letter), own.tobytes()
+            found = self._each([raw[b - n : b].decode() for b, n in zip(stop[rest].tolist(), length[rest].tolist(), strict=True)])
+            sizes[rest] = np.fromiter(map(len, found), np.int64, len(found))
+            places[rest] = len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
+            ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes[rest].sum()))])
+        return ids, places, sizes, own
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, encoded by itself."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        known.update({w: old[w] for w in words if w not in known and w in old})
+        new = list({w for w in words if w not in known})
+        known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return [known[w] for w in words]
 
     def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same, text by text, for the chunk that finds the pool full."""
@@ -172,54 +226,6 @@ class WordTokenizer:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[i:j].decode() for i, j in itertools.pairwise(off)], add_special_tokens=False)]
         return np.array(list(itertools.chain.from_iterable(ids)), "<u4"), np.cumsum([0, *map(len, ids)])
 
-    def _learn(self, new: set[str]) -> None:
-        known, old = self.known, self.old
-        letters, others, pairs = set(), [], []
-
-        def have(w: str) -> bool:
-            if w in known:
-                return True
-            if w in old:
-                known[w] = old[w]
-                return True
-            return False
-
-        for w in new:
-            if have(w):
-                continue
-            m = self.two_words(w)
-            if not m:
-                others.append(w)
-                continue
-            core, tail = m.groups()
-            if not have(core):
-                letters.add(core)
-            if tail:
-                pairs.append((w, core, tail))
-                if not have(tail):
-                    others.append(tail)
-        self._encode_letters(list(letters))
-        self._encode_each(others)
-        for w, core, tail in pairs:
-            known[w] = known[core] + known[tail]
-
-    def _encode_letters(self, words: list[str]) -> None:
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or stops[-1] != len(ids):
-            return self._encode_each(words)
-        data, at = ids.tobytes(), 0
-        for w, stop in zip(words, (stops * 4).tolist(), strict=True):
-            self.known[w] = data[at:stop]
-            at = stop
-
-    def _encode_each(self, words: list[str]) -> None:
-        words = list(set(words))
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
 
 class Packer:
     """A fixed number of open windows; best fit, else the fullest goes."""

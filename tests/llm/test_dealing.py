@@ -241,3 +241,27 @@ def test_runs_that_share_a_hash_get_their_own_ids(spark):
         ids, stops = t.packed(data, off)
         for k, text in enumerate(texts):
             assert ids[stops[k] : stops[k + 1]].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_letters_are_encoded_once_whatever_follows_them(spark, monkeypatch):
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, Counter()
+
+        def encode_batch_fast(self, texts, **kw):
+            self.seen.update(w for t in texts for w in t.split())
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 10)
+    t = packing.WordTokenizer(queries.tokenizer_path())
+    plain, t.tokenizer = t.tokenizer, Counting(t.tokenizer)
+    rng = np.random.default_rng(8)
+    cores = ["".join(rng.choice([*"abcdeéß"], 7)) for _ in range(300)]
+    for tail in ("", ",", "!!", "", "·", "'s", "'", ")("):
+        texts = [c + tail for c in cores] + ["× a×b ÷é é÷, ,a a,b .a. ", "end" + tail, tail + "begin"]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.cumsum([0, *(len(x.encode()) for x in texts)])
+        ids, stops = t.packed(data, off)
+        for k, text in enumerate(texts):
+            assert ids[stops[k] : stops[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert {t.tokenizer.seen[c] for c in cores} == {1}
