@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, packing, repeats, simhash
 from tessera.llm.queries import tokenizer_path
-from tessera.sources.shared import forgotten, scratch, written
+from tessera.sources.shared import forgotten, scratch, small_batches, written
 
 #: Near duplicates: five-word shingles, Jaccard similarity of at least 0.8 on whole texts.
 #: 0.8 means about 39 of 256 differing bits, give or take 6, and 10 of 64, give or take 3:
@@ -64,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; a stage's intermediate tables go when its result is written."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        with scratch(spark):
+        with scratch(spark), small_batches(spark):
             docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
         if before is not None:
             forgotten(before)

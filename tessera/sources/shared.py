@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Frees a query's shuffle files as soon as it ends, instead of when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds Arrow batches on their way to Python workers by bytes, beside the number of rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Written tables by session, oldest first.
 _made: dict[str, list[str]] = {}
@@ -47,7 +49,7 @@ def written(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with _shuffles_freed(spark):
+    with _setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
     if not keep:
         _tables(spark).append(path)
@@ -57,13 +59,18 @@ def written(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, limit: int = 4 << 20):
+    """Inside, Arrow batches end beyond ``limit`` bytes: executor and worker hold a batch each, and 10000 rows of text are tens of MB."""
+    return _setting(spark, BATCH_BYTES, str(limit))
 
 
 def forgotten(table: DataFrame) -> None:

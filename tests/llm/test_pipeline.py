@@ -51,3 +51,20 @@ def test_run_leaves_only_its_result(spark, sf):
     assert rows.count() > 100 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows.columns)
     assert [n.rpartition("-")[0] for n in set(os.listdir(folder)) - before if n.startswith("stage")] == ["stage-packing"]
     assert len(set(os.listdir(folder)) - before) <= 2
+
+
+def test_batches_of_text_stay_small(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.range(6000, numPartitions=1).selectExpr("id AS doc_id", "repeat(uuid(), 150) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda spark, docs, sf: docs.mapInArrow(sizes, "n long, size long"))])
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in rows) == 6000 and max(r.size for r in rows) < 5 << 20 < sum(r.size for r in rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit
