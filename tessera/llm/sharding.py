@@ -41,15 +41,17 @@ def record_size(text: Column) -> Column:
 
 
 def _shuffle_buckets(batches: Iterator[pa.RecordBatch], seed: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (shard, bucket, key...); each bucket is held, shuffled and passed on."""
+    """Rows come sorted by (shard, bucket, key...), before them a row with the bucket's first slot; each bucket is held, shuffled and passed on."""
 
     def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = pa.Table.from_batches(held)
+        first = table.column("__tessera_base")[0].as_py()
+        table = table.slice(1).combine_chunks()
         shard, bucket = table.column("shard")[0].as_py(), table.column("__tessera_bucket")[0].as_py()
         order = list(range(len(table)))
         random.Random(f"{seed}/{shard}/{bucket}").shuffle(order)  # Fisher-Yates
-        mixed = table.take(pa.array(order)).append_column("__tessera_in", pa.array(range(len(order)), pa.int64()))
-        return mixed.select([*names, "__tessera_in"]).combine_chunks().to_batches()[0]
+        mixed = table.select(names).take(pa.array(order)).append_column("slot", pa.array(range(first, first + len(order)), pa.int64()))
+        return mixed.combine_chunks().to_batches()[0]
 
     held: list[pa.RecordBatch] = []
     now = None
@@ -74,8 +76,9 @@ def shuffled_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str =
     """``docs`` with ``shard``, ``slot`` and ``grown_shard`` (the shard if there were one more).
 
     Rows of a bucket leave in their shuffled order.  The number of buckets follows
-    from the total size; only bucket counts (one row per bucket) are joined to give
-    slots, and they are not collected.
+    from the total size.  The first slot of each bucket (one row per bucket) is dealt
+    and sorted in with its rows, so whole rows move once, nothing is joined and
+    nothing collected.
     """
     docs = docs.drop("shard", "slot", "grown_shard")
     total = docs.agg(F.coalesce(F.sum(record_size(F.col(text_col))), F.lit(0))).first()[0]
@@ -90,12 +93,11 @@ def shuffled_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str =
     earlier = Window.partitionBy("shard").orderBy("__tessera_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "__tessera_bucket", F.coalesce(F.sum("__tessera_n").over(earlier), F.lit(0)).alias("__tessera_base"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(shards * per_shard, 1 << 16))
-    rows = tagged.repartition(parts, "shard", "__tessera_bucket")
-    rows = rows.sortWithinPartitions("shard", "__tessera_bucket", key_col, text_col)
-    names = tagged.columns
-    schema = T.StructType([*tagged.schema.fields, T.StructField("__tessera_in", T.LongType())])
-    mixed = rows.mapInArrow(lambda it: _shuffle_buckets(it, seed, names), schema)
-    placed = mixed.join(base, ["shard", "__tessera_bucket"]).withColumn("slot", F.col("__tessera_base") + F.col("__tessera_in"))
+    rows = tagged.unionByName(base, allowMissingColumns=True).repartition(parts, "shard", "__tessera_bucket")
+    rows = rows.sortWithinPartitions("shard", "__tessera_bucket", F.col("__tessera_base").asc_nulls_last(), key_col, text_col)
+    names = [*docs.columns, "shard", "grown_shard"]
+    schema = rows.select(names).schema.add("slot", T.LongType())
+    placed = rows.mapInArrow(lambda it: _shuffle_buckets(it, seed, names), schema)
     return placed.select(*docs.columns, "shard", "slot", "grown_shard")
 
 

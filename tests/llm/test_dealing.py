@@ -48,6 +48,20 @@ def test_sharding_small_buckets_and_hard_rows(spark):
     assert sharding.shuffled_shards(empty(spark)).count() == 0
 
 
+def test_sharding_moves_whole_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more buckets than may be broadcast
+    try:
+        placed = sharding.shuffled_shards(hard(spark).select("doc_id", "text"), shards=3, bucket_bytes=1000)
+        todo, moves = [placed._jdf.queryExecution().executedPlan().initialPlan()], 0
+        while todo:
+            node = todo.pop()
+            moves += node.nodeName().endswith("Exchange") and "text#" in node.output().mkString(",")
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert moves == 1 and placed.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shards_written_in_slot_order(spark, tmp_path):
     sharding.write_shards(hard(spark).select("doc_id", "text"), str(tmp_path / "out"), shards=2, bucket_bytes=4000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
