@@ -224,8 +224,8 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, radius: int) ->
 
 
 def cheapest_plan(both: np.ndarray, n: int, radius: int, parts: int | None) -> tuple[list[list[int]], list[int]]:
-    """Groups of bits and their thresholds; without ``parts`` in the number that costs least."""
-    plans = []
+    """Groups of bits and their thresholds; without ``parts`` in the number that costs least (for no fingerprints, as for one)."""
+    plans, n = [], max(n, 1)
     for k in [parts] if parts else [k for k in PARTS if k <= radius + 1]:
         groups = correlated_parts(both, n, k)
         work, thresholds = allocate(groups, both, n, radius)

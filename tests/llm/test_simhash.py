@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -109,6 +110,13 @@ def test_large_buckets_are_dealt_to_tasks_and_pass_by_in_batches(spark, monkeypa
     check(simhash.near_duplicates(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
 
 
+def test_plans_for_no_fingerprints_probe_few_buckets():
+    for radius in (4, 13):
+        groups, thresholds = simhash.cheapest_plan(np.zeros((64, 64)), 0, radius, None)
+        assert sum(t + 1 for t in thresholds) == radius + 1
+        assert sum(math.comb(len(g), r) for g, t in zip(groups, thresholds, strict=True) for r in range(t + 1)) < 100
+
+
 def test_number_of_parts_follows_the_number_of_fingerprints():
     both = np.full((64, 64), 0.25) + np.eye(64) * 0.25
     few, many = (len(simhash.cheapest_plan(both * n, n, 4, None)[0]) for n in (10_000, 10**9))
