@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import joins
@@ -21,6 +21,27 @@ def _with_minimum(edges: DataFrame, floor: bool, n: int) -> DataFrame:
     return join_with_hot_keys(edges, written(low, "minima") if n > joins.MANY_ROWS else low, ["u"], "degree", n)
 
 
+def _contracted(e: DataFrame) -> DataFrame:
+    """Large-star and small-star over few edges: each star is a window, so a round is three shuffles of one table that is read once."""
+    least = F.min("v").over(Window.partitionBy("u"))
+
+    def each(*pairs: tuple[str, str]):
+        return F.inline(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs]))
+
+    large = e.select(each(("u", "v"), ("v", "u"))).withColumn("m", F.least("u", least)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return large.withColumn("m", least).select(each(("u", "m"), ("v", "m"))).filter("u > v").distinct()
+
+
+def _contracted_by_joins(e: DataFrame, n: int) -> DataFrame:
+    """The same over many edges (``n``), by two aggregations and two equality joins: the edges of hubs stay where they are."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _with_minimum(both, True, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = written(large, "large-star") if n > joins.MANY_ROWS else large
+    small = _with_minimum(large, False, n)
+    small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return small.filter("u > v").distinct()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component): each node of an edge with the smallest node it reaches.
 
@@ -28,19 +49,17 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
     links its smaller neighbours to the smallest; in a few rounds every component
     is a star.  A round is two aggregations and two equality joins over the edge
     table, written to the shared folder, so lineage does not grow; the edges of hubs stay
-    where they are and no task sees all of them.  Loops and null ends are ignored.  The rounds follow the
+    where they are and no task sees all of them.  Up to half of MANY_ROWS edges, where a hub
+    is small too, windows take the place of aggregations and joins: the plan and its tasks, which the
+    driver has to keep account of, are fewer.  Loops and null ends are ignored.  The rounds follow the
     logarithm of the longest path; RuntimeError if ``max_rounds`` do not settle it.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v AND v IS NOT NULL").distinct()
     e, seen = written(e, "edges"), None
     seen = _fingerprint(e)
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both, True, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star") if seen[0] > joins.MANY_ROWS else large
-        small = _with_minimum(large, False, seen[0])
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        before, e = e, written(small.filter("u > v").distinct(), "edges")
+        few = 2 * seen[0] <= joins.MANY_ROWS
+        before, e = e, written(_contracted(e) if few else _contracted_by_joins(e, seen[0]), "edges")
         now = _fingerprint(e)
         forgotten(before)
         if now == seen:

@@ -59,6 +59,22 @@ def test_hubs_chains_and_repeats_with_and_without_hub_joins(spark, monkeypatch):
     assert graph.connected_components(table.limit(0), "a", "b").count() == 0
 
 
+def test_a_round_over_few_edges_shuffles_three_times_and_reads_its_table_once(spark, monkeypatch):
+    plans = []
+
+    def written(df, label, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.written(df, label, **options)
+
+    monkeypatch.setattr(graph, "written", written)
+    edges = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 140)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in graph.connected_components(table, "a", "b").collect()}
+    assert got == _components(edges)
+    rounds = plans[1:]
+    assert rounds and all(p.count("FileScan") == 1 and p.count("Exchange") == 3 for p in rounds)
+
+
 def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
