@@ -75,6 +75,30 @@ def test_a_round_over_few_edges_shuffles_three_times_and_reads_its_table_once(sp
     assert rounds and all(p.count("FileScan") == 1 and p.count("Exchange") == 3 for p in rounds)
 
 
+def test_rounds_over_many_edges_send_nothing_but_hubs_through_the_driver(spark, monkeypatch):
+    plans, hubs = [], []
+
+    def written(df, label, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = shared.written(df, label, **options)
+        if label == "hubs":
+            hubs.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", written)
+    monkeypatch.setattr(joins, "MANY_ROWS", 10)
+    monkeypatch.setattr(joins, "HOT_KEYS", 20)
+    for edges, most in (([(k, k + 1) for k in range(0, 800, 2)], 0), ([(k, k + 7) for k in range(500)] + [(1000, k) for k in range(2000, 2300)], 80)):
+        plans.clear(), hubs.clear()
+        got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+        assert got == _components(edges)
+        assert hubs and max(hubs) <= most and (max(hubs) > 0) == (most > 0)
+        for p in plans:
+            sides = p.split("BroadcastExchange")[1:]
+            assert "SortMergeJoin" not in p and all("/hubs-" in x.split("FileScan")[1] for x in sides), p
+            assert most or not sides, p
+
+
 def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
