@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.dq import numeric_columns
+from tessera.operators.ranking import exact_percentiles
 
 Z_LIMIT = 3.0
 IQR_FACTOR = 1.5
@@ -46,8 +47,10 @@ def zscore_flags(df: DataFrame, columns: Sequence[str] | None = None, limit: flo
 def iqr_flags(df: DataFrame, columns: Sequence[str] | None = None, factor: float = IQR_FACTOR, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """``_anomaly_iqr_<column>`` outside the fences (null stays null) and ``_is_anomaly_iqr``; counts as above."""
     columns = list(columns or numeric_columns(df))
-    quart = (lambda c: F.percentile(c, [0.25, 0.75])) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.75], F.lit(1000)))
-    stats = _literals(df, {c: quart(c) for c in columns}) if columns else {}
+    if exact and columns:
+        stats = exact_percentiles(df, {c: F.col(c) for c in columns}, (0.25, 0.75))
+    else:
+        stats = _literals(df, {c: F.percentile_approx(c, [0.25, 0.75], F.lit(1000)) for c in columns}) if columns else {}
     flags, whole = {}, F.lit(False)
     for c in columns:
         q1, q3 = stats[c] or (None, None)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import ranking
+
 DIMENSIONS = ("completeness", "uniqueness", "validity", "timeliness", "consistency")
 
 
@@ -110,14 +112,23 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("x")).select("x.*").distinct().groupBy("column").agg(F.count("*").alias("distinct_count"))
 
 
+def _finite(column: str) -> Column:
+    """A numeric column as doubles without NaN and infinities."""
+    d = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
+
 def profile_columns(df: DataFrame, *, exact_percentiles: bool = False, pii: bool = True, approximate_distinct: bool = False) -> DataFrame:
     """One row per column: nulls, distinct values, numeric and length statistics, PII row counts.
 
-    One aggregation over one scan, and one more over values in long form for exact
-    distinct counts (128-bit hashes of them).  NaN and infinities count as missing in
+    One aggregation over one scan, one more over values in long form for exact
+    distinct counts (128-bit hashes of them), and one for exact percentiles, which are found at once.  NaN and infinities count as missing in
     numeric statistics.
     """
     numbers, strings = set(numeric_columns(df)), set(_kind(df, T.StringType))
+    exact = {}
+    if exact_percentiles and numbers:
+        exact = ranking.exact_percentiles(df, {c: _finite(c) for c in df.columns if c in numbers}, PERCENTILES)
     aggs: list[Column] = [F.count("*").alias("rows")]
     items = []
     for i, c in enumerate(df.columns):
@@ -128,14 +139,15 @@ def profile_columns(df: DataFrame, *, exact_percentiles: bool = False, pii: bool
         stats = {n: F.lit(None).cast("double") for n in ("min", "max", "mean", "stddev", "sum", "variance", "skewness", "kurtosis", "min_length", "max_length", "avg_length")}
         quantiles, found = F.lit(None).cast("array<double>"), F.lit(None).cast("map<string,bigint>")
         if c in numbers:
-            d = F.col(q).cast("double")
-            x = F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+            x = _finite(c)
             named = {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "stddev": F.stddev(x), "sum": F.sum(x), "variance": F.variance(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x)}
             aggs += [F.round(v, 6).alias(f"{n}{i}") for n, v in named.items()]
-            p = F.percentile(x, list(PERCENTILES)) if exact_percentiles else F.percentile_approx(x, list(PERCENTILES), F.lit(100))
-            aggs.append(p.alias(f"quantiles{i}"))
             stats |= {n: F.col(f"{n}{i}") for n in named}
-            quantiles = F.transform(f"quantiles{i}", lambda v: F.round(v.cast("double"), 4))
+            if not exact_percentiles:
+                aggs.append(F.percentile_approx(x, list(PERCENTILES), F.lit(100)).alias(f"quantiles{i}"))
+                quantiles = F.transform(f"quantiles{i}", lambda v: F.round(v.cast("double"), 4))
+            elif exact[c]:
+                quantiles = F.array(*[F.round(F.lit(v), 4) for v in exact[c]])
         if c in strings:
             size = F.length(q)
             named = {"min_length": F.min(size), "max_length": F.max(size), "avg_length": F.round(F.avg(size), 2)}
@@ -152,8 +164,8 @@ def profile_columns(df: DataFrame, *, exact_percentiles: bool = False, pii: bool
     out = df.agg(*aggs).select(F.explode(F.array(*items)).alias("x")).select("x.*")
     if approximate_distinct:
         return out
-    exact = distinct_counts(df, df.columns).withColumnRenamed("distinct_count", "_exact")
-    return out.join(exact, "column", "left").withColumn("distinct_count", F.coalesce("_exact", F.lit(0))).drop("_exact")
+    counts = distinct_counts(df, df.columns).withColumnRenamed("distinct_count", "_exact")
+    return out.join(counts, "column", "left").withColumn("distinct_count", F.coalesce("_exact", F.lit(0))).drop("_exact")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 20) -> DataFrame:

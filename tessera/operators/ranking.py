@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import written
+from tessera.sources.shared import forgotten, written
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], order_col: str, *, ascending: bool = False, tie_breakers: Sequence[str] = ()) -> DataFrame:
@@ -39,6 +40,45 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     return out.withColumn(name, number).drop("__tessera_part", "__tessera_offset", "__tessera_place"), total
 
 
+def exact_percentiles(df: DataFrame, values: dict[str, Column], fractions: Sequence[float]) -> dict[str, list[float] | None]:
+    """What ``percentile`` gives for each of ``values`` (as doubles), without a task that holds all of them; None where there are none.
+
+    Values are counted in one long form, range-partitioned and written once.  The driver gets
+    one sum per partition; only partitions in which a wanted rank falls are added up value by value.
+    """
+    spark = df.sparkSession
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), v.cast("double").alias("v")) for i, v in enumerate(values.values())])
+    counted = df.select(F.inline(pairs)).filter("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    table = written(counted.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), "counted")
+    sums: list[list[tuple[int, int]]] = [[] for _ in values]
+    for c, part, n in sorted(map(tuple, table.groupBy("c", "part").agg(F.sum("n")).collect())):
+        sums[c].append((part, n))
+    totals = [sum(n for _, n in own) for own in sums]
+    places = {(c, (total - 1) * p) for c, total in enumerate(totals) if total for p in fractions}
+    wanted = []
+    for c, rank in {(c, f(x)) for c, x in places for f in (math.floor, math.ceil)}:
+        before = 0
+        for part, n in sums[c]:
+            if before <= rank < before + n:
+                wanted.append((c, part, rank - before, rank))
+            before += n
+    found = {}
+    if wanted:
+        near = table.filter(F.col("part").isin(sorted({w[1] for w in wanted})))
+        near = near.withColumn("upto", F.sum("n").over(Window.partitionBy("c", "part").orderBy("v")))
+        ranks = F.broadcast(spark.createDataFrame(wanted, "c int, part int, k long, rank long"))
+        rows = near.join(ranks, ["c", "part"]).filter("upto > k AND upto - n <= k").select("c", "rank", "v").collect()
+        found = {(r.c, r.rank): r.v for r in rows}
+    forgotten(table)
+
+    def at(c: int, place: float) -> float:
+        low, high = math.floor(place), math.ceil(place)
+        a, b = found[c, low], found[c, high]
+        return a if low == high or a == b else (high - place) * a + (place - low) * b
+
+    return {name: [at(c, (totals[c] - 1) * p) for p in fractions] if totals[c] else None for c, name in enumerate(values)}
+
+
 def except_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.subtract(right)
 

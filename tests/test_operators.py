@@ -17,6 +17,7 @@ from tessera.functions import text
 from tessera.operators import adaptive, anomaly, checks, dq, entity, gold, mesh, pii, ranking, roi, scd
 from tessera.operators.graph import connected_components
 from tessera.plans.engine import evaluate
+from tessera.sources import shared
 from tessera.sources.contracts import DataContract
 
 
@@ -94,6 +95,43 @@ def test_zscore_of_constant_and_null_values(spark):
     assert dq.numeric_columns(df) == ["i", "v"] and dq.numeric_columns(df, strict=True) == ["v"]
 
 
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_exact_percentiles_are_those_of_percentile_over_several_partitions(spark, monkeypatch, merged):
+    rng = np.random.default_rng(5)
+    rows = [(float(a) if i % 9 else None, float(b), i % 3) for i, (a, b) in enumerate(zip(rng.normal(size=500), rng.integers(0, 4, 500), strict=True))]
+    rows += [(float("nan"), -0.0, 1), (float("inf"), 1e300, None), (5.0, float("-inf"), 2)]
+    df = frame(spark, rows, "a double, b double, c int").withColumns({"none": F.lit(None).cast("double"), "e.f": F.col("a").cast("float")}).repartition(7)
+    points, columns = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0), {c: F.col(f"`{c}`") for c in df.columns}
+    want = df.agg(*[F.percentile(v, list(points)).alias(c) for c, v in columns.items()]).first().asDict()
+    parts = []
+
+    def written(out, label, **options):
+        table = shared.written(out, label, **options)
+        parts.append(table.select("part").distinct().count())
+        return table
+
+    monkeypatch.setattr(ranking, "written", written)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    try:
+        assert str(ranking.exact_percentiles(df, columns, points)) == str(want)
+        assert ranking.exact_percentiles(df.limit(0), columns, points) == dict.fromkeys(columns)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert merged == "true" or parts[0] > 2
+
+
+def test_exact_flags_and_profiles_keep_no_column_in_one_buffer(spark, monkeypatch):
+    def percentile(*args):
+        raise AssertionError("one task would hold all values")
+
+    monkeypatch.setattr(F, "percentile", percentile)
+    df = frame(spark, [(float(i), None if i % 2 else i) for i in range(9)] + [(None, None), (100.0, 4)], "v double, `w.x` int")
+    out, counts = anomaly.iqr_flags(df, ["v"], exact=True)
+    assert counts.first().total == 1 and [r.v for r in out.filter("_is_anomaly_iqr").collect()] == [100.0]
+    p = {r["column"]: r.percentiles for r in dq.profile_columns(df.withColumn("none", F.lit(None).cast("double")), exact_percentiles=True).collect()}
+    assert p["v"][3] == 4.5 and p["w.x"][2:5] == [2.5, 4.0, 5.5] and p["none"] is None
+
+
 def test_isolation_forest_finds_far_points_in_place(spark):
     rng = np.random.default_rng(0)
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))] + [(1000 + i, 20.0 + i, -20.0) for i in range(5)] + [(2000, None, 1.0)]
